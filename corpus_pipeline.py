@@ -1,8 +1,51 @@
-"""A corpus pipeline of five stages; each takes the documents that the one before it kept."""
+"""A corpus pipeline of five stages; each takes the documents that the one before it kept.
 
-STAGES = []
+Language ID rejects texts without a clear language; the quality classifier rejects texts of low quality; the n-gram
+Jaccard join keeps one document of each group of near copies; secret scans redact what they find; best-fit packing
+places the tokens of every document left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from heronry.llm import bpe, jaccard_join, language_id, packing, quality, secret_scan
+from heronry.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redacted(docs.select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, bpe.vocabulary_path())
+
+
+STAGES = [("language ID", languages), ("quality classifier", good_texts), ("n-gram Jaccard join", one_copy), ("secret scans", without_secrets), ("best-fit packing", packed)]
+
+#: SQL cannot express the trained stages, the tokenisation or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet in the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
