@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import block_map, flat_map
+from heronry.llm.common import block_map, drop, flat_map, most_frequent, stored
 
 #: The pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -331,7 +331,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def frequent_words(df: DataFrame, text_col: str, size: int) -> list[str]:
-    """The ``size`` most frequent blank-separated words of all whole texts, ties in code-point order.
+    """The most frequent blank-separated words of all whole texts, ``size`` at most, in code-point order.
 
     Tasks count before anything is shuffled; the driver gets ``size`` words at most.
     """
@@ -351,8 +351,10 @@ def frequent_words(df: DataFrame, text_col: str, size: int) -> list[str]:
         return kernel, flush
 
     out = flat_map(df, [text_col], "word string, n long", factory, 20_000)
-    top = out.where(F.length("word").between(1, MEMO_LENGTH)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    counts = stored(out.where(F.length("word").between(1, MEMO_LENGTH)).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    words = sorted(r["word"] for r in most_frequent(counts, "n", size).select("word").collect())
+    drop(counts)
+    return words
 
 
 def build_lexicon(df: DataFrame, text_col: str, path: str, size: int = 20_000) -> bytes:

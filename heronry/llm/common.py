@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -128,6 +128,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def most_frequent(df: DataFrame, count: str, size: int) -> DataFrame:
+    """The rows of the highest counts, ``size`` at most: whole classes of equal counts from the top down.
+
+    ``df`` is a table made by ``stored``. Only its histogram of counts is sorted, so no task and not the driver
+    gets more than that; the result is a filter.
+    """
+    levels = Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, 0)
+    kept = df.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).select(count, F.sum("rows").over(levels).alias("so_far")).where(F.col("so_far") <= size)
+    cut = kept.agg(F.min(count)).first()[0]
+    return df.where(F.col(count) >= F.lit(cut)) if cut is not None else df.limit(0)
+
+
 @atexit.register
 def _drop_all() -> None:
     for spark, path in list(_OWN.values()):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.llm.common import drop, stored
+from heronry.llm.common import drop, most_frequent, stored
 
 #: Coarse fragments in which overlaps are counted, and buckets of the bounded prefilter of candidate documents.
 COARSE, BUCKETS = 4, 1 << 18
@@ -150,7 +150,9 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
             yield report()
 
     counts = df.select(text_col).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    often = stored(counts.where(F.col("n") >= FREQUENT_FROM), "frequent")
+    top = most_frequent(often, "n", FREQUENT).select("h").toArrow()
+    drop(often)
     return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import block_map, drop, flat_map, held_out, stored
+from heronry.llm.common import block_map, drop, flat_map, held_out, most_frequent, stored
 from heronry.llm.sampling import hash_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -100,7 +100,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return np.array([totals.get((kind, g), (0, 0))[0] + 0.5 * vocabulary for g in languages])
 
     for where, most in (("kind = 0 and n > 1", max_words), ("kind > 0", max_grams)):
-        top = counts.where(where).groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("n"), "kind", "gram").limit(most)
+        grouped = stored(counts.where(where).groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")), "grams")
+        top = most_frequent(grouped, "n", most)
         sizes = {k: base(k) for k in range(LONGEST + 1)}
         for batch in top.select("kind", "gram", "by").toArrow().to_batches(2048):
             for kind, gram, by in zip(*(c.to_pylist() for c in batch.columns)):
@@ -109,6 +110,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     row[place[x["lang"]]] += x["n"]
                 tables[kind][gram] = len(rows)
                 rows.append(np.log(row / sizes[kind]))
+        drop(grouped)
     drop(counts)
     scores = np.array(rows) if rows else np.zeros((0, len(languages)))
     return LanguageModel(languages, tables, scores, np.zeros(len(languages)))

@@ -1,7 +1,7 @@
 """Toxicity scoring with a counterfactually regularised linear classifier.
 
-Features are the words of a text and their leading characters (so inflected forms share evidence), present or
-not. In labelled sentences that mention a group, the identity term is swapped for another of its list, and the
+Features are the words of a text and their leading characters (so inflected forms share evidence): present,
+repeated, or repeated densely. In labelled sentences that mention a group, the identity term is swapped for another of its list, and the
 difference of the two scores is penalised, so that a neutral mention of a group moves no score.
 """
 
@@ -15,14 +15,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import block_map, drop, flat_map, held_out, stored
+from heronry.llm.common import block_map, drop, flat_map, held_out, most_frequent, stored
 from heronry.llm.sampling import labelled_texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
 PREFIXES = (4, 5, 6)
 #: Bounds: labelled documents to learn from, features of the model; documents that a feature must occur in.
-MAX_DOCS, MAX_FEATURES, LEAST_DOCS = 8_000, 4_000, 4
+MAX_DOCS, MAX_FEATURES, LEAST_DOCS = 12_000, 4_000, 4
+#: A repeated feature is dense if it makes up one word in so many at least.
+DENSE = 400
 #: Identity terms; within a line they stand for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -41,6 +43,21 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
+def text_features(words: list[str], of=word_features) -> set[str]:
+    """Features present; with ``+`` those that occur twice or more, with ``++`` those that do so densely."""
+    counts: Counter = Counter()
+    for w, n in Counter(words).items():
+        for f in of(w):
+            counts[f] += n
+    out = set(counts)
+    for f, n in counts.items():
+        if n > 1:
+            out.add(f + "+")
+            if n * DENSE >= len(words):
+                out.add(f + "++")
+    return out
+
+
 def swaps(terms=IDENTITY_TERMS) -> dict[str, str]:
     """Each identity term's counterfactual: the next of its list, the first for the last."""
     return {t: row[(i + 1) % len(row)] for row in terms for i, t in enumerate(row)}
@@ -65,8 +82,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
             counts[1].clear()
 
         def kernel(text, label):
-            words = set(WORDS.findall((text or "").lower()))
-            counts[label].update({f for w in words for f in word_features(w)})
+            counts[label].update(text_features(WORDS.findall((text or "").lower())))
             if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from rest()
 
@@ -76,9 +92,11 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], size: int, sparse: float = 2e-4, ridge: float = 1e-5, fair: float = 10.0, steps: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], size: int, sparse: float = 5e-5, ridge: float = 1e-6, fair: float = 10.0, positive: float = 4.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient for log loss + fair * mean(score change)^2 + ridge + sparse * |w|.
 
+    Documents of label 1 weigh ``positive`` times as much as others, being few.
+
     ``rows`` are the features of each document, ``swapped`` those only in a sentence and only in its counterfactual.
     """
     n = len(y)
@@ -96,15 +114,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swapped: list[tuple[np.ndarray, n
     def gradient(w, b):
         z = b + np.bincount(owner, w[cols], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        r = (p - y) / n
+        r = (p - y) * share
         g = np.bincount(cols, r[owner], size) + ridge * w
-        loss = float(np.mean(np.logaddexp(0, z) - y * z)) + ridge / 2 * float(w @ w)
+        loss = float(share @ (np.logaddexp(0, z) - y * z)) + ridge / 2 * float(w @ w)
         if m:
             change = np.bincount(s_owner, s_sign * w[s_cols], m)
             g += 2 * fair / m * np.bincount(s_cols, s_sign * change[s_owner], size)
             loss += fair * float(np.mean(change**2))
         return loss, g, float(r.sum())
 
+    share = np.where(y > 0, positive, 1.0)
+    share /= share.sum()
     w, b = np.zeros(size), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     vw, vb, t = w.copy(), b, 1.0
     rate = 16.0 / lipschitz
@@ -140,7 +160,9 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     counts = _feature_counts(sample).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
     share = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) + F.lit(1e-9))
-    names = sorted(r["feature"] for r in counts.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
+    scored = stored(counts.select("feature", F.floor(z * 10_000).alias("z")), "toxic-features")
+    names = sorted(r["feature"] for r in most_frequent(scored, "z", MAX_FEATURES).collect())
+    drop(scored)
     place = {f: i for i, f in enumerate(names)}
     shared = df.sparkSession.sparkContext.broadcast((place, swaps(terms)))
 
@@ -148,19 +170,19 @@ def train(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         place, other = shared.value
 
         def active(words) -> set[int]:
-            return {place[f] for w in words for f in word_features(w) if f in place}
+            return {place[f] for f in text_features(words) if f in place}
 
         def kernel(key, text, y):
             low = (text or "").lower()
             pairs = []
             if any(t in low for t in other):
                 for sentence in SENTENCES.split(low):
-                    words = set(WORDS.findall(sentence))
-                    if words & other.keys():
-                        a, b = active(words), active({other.get(w, w) for w in words})
+                    words = WORDS.findall(sentence)
+                    if other.keys() & words:
+                        a, b = active(words), active([other.get(w, w) for w in words])
                         if a != b:
                             pairs.append({"gone": sorted(a - b), "come": sorted(b - a)})
-            yield key, y, sorted(active(set(WORDS.findall(low)))), pairs
+            yield key, y, sorted(active(WORDS.findall(low))), pairs
 
         return kernel
 
@@ -177,18 +199,21 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model, self.memo = model, {}
+        self.bases = {f.rstrip("+") for f in model.weights}
 
     def score(self, text: str | None) -> float:
-        weights, memo = self.model.weights, self.memo
-        words = set(WORDS.findall((text or "").lower()))
-        new = words.difference(memo)
+        weights, memo, bases = self.model.weights, self.memo, self.bases
+        words = WORDS.findall((text or "").lower())
+        kinds = set(words)
+        new = kinds.difference(memo)
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = words
+            new = kinds
         for w in new:
-            memo[w] = tuple(f for f in word_features(w) if f in weights)
-        features = {f for found in filter(None, map(memo.__getitem__, words)) for f in found}
-        total = self.model.bias + sum(weights[f] for f in sorted(features))
+            memo[w] = any(f in bases for f in word_features(w))
+        telling = [w for w in words if memo[w]]
+        features = text_features([*telling, *[""] * (len(words) - len(telling))], lambda w: [f for f in word_features(w) if f in bases] if w else ())
+        total = self.model.bias + sum(weights.get(f, 0.0) for f in sorted(features))
         return float(1 / (1 + np.exp(-min(max(total, -40.0), 40.0))))
 
 
