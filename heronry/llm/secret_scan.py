@@ -90,14 +90,14 @@ def window_entropies(run: bytes, window: int) -> list[float]:
     total = 0.0
     out = []
     for i, b in enumerate(run):
-        c = counts[b]
-        counts[b] = c + 1
-        total += weight[c + 1] - weight[c]
         if i >= window:
             old = run[i - window]
             c = counts[old]
             counts[old] = c - 1
             total += weight[c - 1] - weight[c]
+        c = counts[b]
+        counts[b] = c + 1
+        total += weight[c + 1] - weight[c]
         if i >= window - 1:
             out.append(math.log2(window) - total / window)
     return out
