@@ -104,6 +104,12 @@ scored AS (
 ),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored WHERE score > 0)"""
 
+PARENTS = f"""
+first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id) AS r FROM chunks) WHERE r = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, chunk_id) AS n FROM first_),
+around AS (SELECT a.chunk_id, b.n, b.content, sum(b.token_count) OVER (PARTITION BY a.chunk_id ORDER BY b.n) AS total FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n - 5 AND a.n + 5),
+parents AS (SELECT chunk_id, coalesce(string_agg(content, {NL} || {NL} ORDER BY n) FILTER (total <= 2000), '') AS parent FROM around GROUP BY chunk_id)"""
+
 JUDGED = f"""{BM25},
 judged AS (
     SELECT h.query_id, h.rank, contains(lower(o.content), lower(g.answer)) AND g.answer <> '' AS relevant FROM hits h JOIN once o ON h.chunk_id = o.chunk_id JOIN gold g ON g.query_id = h.query_id WHERE h.rank <= 20
@@ -230,6 +236,11 @@ ORACLES: dict[str, str] = {
         cut AS (SELECT doc_id, s[n] AS body, length(array_to_string(list_slice(s, 1, n - 1), '')) AS start FROM each),
         kept AS (SELECT doc_id, start::BIGINT AS char_start, trim(body, {SPACE}) AS content FROM cut WHERE trim(body, {SPACE}) <> '')
         SELECT doc_id, char_start, md5(content) AS content_md5, len(regexp_extract_all(content, '{TOKEN}'))::BIGINT AS token_count, length(content) - length(replace(content, '|', '')) > 4 AS contains_table, contains(content, '```') AS contains_code FROM kept""",
+    "chunk_tables_in_context": f"""WITH {BLOCKS},
+        tables AS (SELECT t.doc_id, t.raw, t.char_start, t.char_end, trim(substr(s.md, greatest(0, t.char_start - 1000) + 1, t.char_start - greatest(0, t.char_start - 1000)), {SPACE}) AS before FROM typed t JOIN sections s ON s.doc_id = t.doc_id WHERE t.is_table),
+        cut AS (SELECT *, array_to_string(list_slice(regexp_extract_all(before, '{TOKEN}'), 1, 200), '') AS head FROM tables),
+        ctx AS (SELECT *, CASE WHEN len(string_split(head, {NL})) > 10 THEN array_to_string(list_slice(string_split(head, {NL}), -10, -1), {NL}) ELSE head END AS context FROM cut)
+        SELECT doc_id, char_start, char_end, md5(CASE WHEN context <> '' THEN context || {NL} || {NL} || raw ELSE raw END) AS content_md5 FROM ctx""",
     "chunk_contextual": f"WITH {CHUNKS} SELECT chunk_id, 'About: ' || substr(content, 1, 30) AS contextual_prefix FROM chunks",
     "chunk_flags": f"WITH {SECTIONS} SELECT substr(sha1('section:' || md || ':' || start), 1, 16) AS chunk_id, length(md) - length(replace(md, '|', '')) > 4 AS contains_table, contains(md, '```') AS contains_code FROM sections",
     "chunk_dedup": "SELECT substr(sha1(text), 1, 16) AS chunk_id, min(doc_id) AS seq FROM documents GROUP BY 1",
@@ -254,6 +265,22 @@ ORACLES: dict[str, str] = {
         parts AS (SELECT query_id // 5 AS query_id, query_id % 5 AS part, chunk_id, {DENSE_RANK} AS rank FROM near),
         merged AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(part * 1000 + rank) AS seen FROM parts WHERE part < 4 AND rank <= 10 GROUP BY query_id, chunk_id)
         SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, chunk_id) AS rank FROM merged) WHERE rank <= 10""",
+    "retrieve_hybrid_rerank": f"""WITH {BM25},
+        pairs AS (SELECT h.query_id, h.chunk_id, list_distinct(g.terms) AS q, list_distinct(regexp_extract_all(lower(o.content), '{WORD}')) AS p FROM hits h JOIN gold g ON g.query_id = h.query_id JOIN once o ON o.chunk_id = h.chunk_id WHERE h.rank <= 10),
+        shares AS (SELECT query_id, chunk_id, len(list_filter(q, lambda w: list_contains(p, w)))::DOUBLE / greatest(1, len(q)) AS score FROM pairs)
+        SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM shares)""",
+    "parent_map": f"WITH {CHUNKS}, {PARENTS} SELECT chunk_id, length(parent)::BIGINT AS n, md5(parent) AS parent_md5 FROM parents",
+    "retrieve_small_to_big": f"""WITH {BM25}, {PARENTS},
+        big AS (SELECT h.query_id, h.rank, h.chunk_id, CASE WHEN p.parent <> '' THEN p.parent ELSE o.content END AS content FROM hits h JOIN once o ON o.chunk_id = h.chunk_id LEFT JOIN parents p ON p.chunk_id = h.chunk_id WHERE h.rank <= 15),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(content, 1, 200) ORDER BY rank) AS b FROM big) WHERE b = 1),
+        again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM best)
+        SELECT query_id, place AS rank, chunk_id, md5(content) AS content_md5 FROM again WHERE place <= 5""",
+    "retrieve_hyde": f"""WITH {INDEX}, {GOLD},
+        bins AS (SELECT chunk_id, b, sum(tf)::DOUBLE AS c FROM (SELECT chunk_id, tf, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b FROM post) GROUP BY chunk_id, b),
+        norms AS (SELECT chunk_id, sqrt(sum(c * c)) AS n FROM bins GROUP BY chunk_id),
+        q_bins AS (SELECT query_id, b, 2.0::DOUBLE * count(*) AS c FROM (SELECT query_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b FROM (SELECT query_id, unnest(terms) AS t FROM gold)) GROUP BY query_id, b),
+        scores AS (SELECT q.query_id, d.chunk_id, sum(q.c * d.c / n.n) AS score FROM q_bins q JOIN bins d ON q.b = d.b JOIN norms n ON n.chunk_id = d.chunk_id GROUP BY q.query_id, d.chunk_id)
+        SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores) WHERE rank <= 5""",
     "span_overlaps": """SELECT event_id, round(CASE WHEN least(b - a, 20) <= 0 THEN 0.0::DOUBLE ELSE greatest(0, least(b, e) - greatest(a, c))::DOUBLE / least(b - a, 20) END, 6) AS overlap
         FROM (SELECT event_id, event_id % 97 AS a, event_id % 97 + user_id % 50 AS b, event_id % 89 AS c, event_id % 89 + 20 AS e FROM events)""",
     "relevance": f"WITH {JUDGED} SELECT query_id, rank, relevant, round(relevant::INT::DOUBLE, 6) AS gain FROM judged",

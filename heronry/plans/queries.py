@@ -26,6 +26,11 @@ def _chunks(spark, d):
     return chunkers.fixed_size(_docs(spark, d).select("doc_id", F.col("source").alias("book"), "text"))
 
 
+def _once(spark, d):
+    """Each chunk once: copies of a document have the same chunks, and those of the first one count."""
+    return S.first_by_id(_chunks(spark, d), "doc_id")
+
+
 # Corpus
 
 
@@ -263,7 +268,7 @@ def retrieve_dense(spark, d):
 
 
 def _bm25(spark, d, k):
-    chunks = _chunks(spark, d).dropDuplicates(["chunk_id"])
+    chunks = _once(spark, d)
     post, dl = index.postings(chunks), index.doc_stats(chunks)
     corpus_row = index.corpus_stats(dl)
     return retrieval.bm25(S.gold(spark, d), post, dl, index.term_stats(post, corpus_row), corpus_row, k), chunks
@@ -317,7 +322,7 @@ def retrieve_query_decomposition(spark, d):
 
 @query
 def retrieve_hyde(spark, d):
-    chunks = _chunks(spark, d).dropDuplicates(["chunk_id"])
+    chunks = _once(spark, d)
     embed = lambda c: X.hashed_embedding(X.search_terms(c))
     vectors = index.normalised(chunks.select("chunk_id", embed(F.col("content")).alias("embedding")))
     questions = S.gold(spark, d).select("query_id", F.array_join("terms", " ").alias("query"))
@@ -326,7 +331,7 @@ def retrieve_hyde(spark, d):
 
 @query
 def parent_map(spark, d):
-    chunks = _chunks(spark, d).withColumn("book", F.col("doc_id").cast("string")).dropDuplicates(["chunk_id"])
+    chunks = _once(spark, d).withColumn("book", F.col("doc_id").cast("string"))
     return retrieval.parents(chunks).select("chunk_id", F.length("parent").cast("long").alias("n"), F.md5("parent").alias("parent_md5"))
 
 
