@@ -11,16 +11,18 @@ those fragments. The number of fragments is that of a size class (sizes up to tw
 partners in the next class emit there too. No link can be missed, and as frequent n-grams lie in fragments of their
 own at the end, passages common to many documents do not make them candidates.
 
-Verification. For each candidate pair, overlaps are counted in each coarse fragment apart and summed per pair.
+Blobs. Equal sets form one class, so copies are never expanded. Classes that share a signature, directly or by way
+of others, form a blob: every link lies within one. Blobs are dealt into tiles of bounded size.
 
-Groups of copies. Equal sets form one class, so copies are never expanded into pairs. Within a signature's group,
-members are first compared with one leader, then only with leaders from other components, in growing steps; pairs
-already in one component need no comparison. What is left is compared in full, so the components are exact.
+Verification. For each pair of tiles, partial overlaps are counted in each coarse fragment of the order apart and
+summed per pair: exact intersections of all pairs of the tiles, which never leave the task. Only a spanning forest of
+the links does, so neither a large group of near copies nor one of near misses makes many rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from heronry.llm.common import drop, most_frequent, stored
 
-#: Coarse fragments in which overlaps are counted, and buckets of the bounded prefilter of candidate documents.
-COARSE, BUCKETS = 4, 1 << 18
+#: N-grams of a coarse fragment in which overlaps are counted, and buckets of the bounded prefilter of candidates.
+COARSE, BUCKETS = 4096, 1 << 20
+#: Bounds of a tile: sets, and n-grams (one set may have more).
+TILE_SETS, TILE_SHINGLES = 512, 300_000
 #: Signatures in a batch of output, and words that a worker's memo of hashes holds.
 BATCH, MEMO = 400_000, 500_000
 #: Frequent n-grams at most (they are broadcast), the documents that make one frequent, n-grams of a task counted
@@ -118,6 +122,11 @@ def _class_of(hashes: np.ndarray) -> tuple[int, int]:
     return (a ^ len(hashes) * 0x9E3779B97F4A7C15) & (1 << 64) - 1, b & 0x7FFFFFFF
 
 
+def _name(hashes: np.ndarray) -> str:
+    c1, c2 = _class_of(hashes)
+    return f"{c1:016x}{c2:08x}"
+
+
 def _texts(batches, *columns: int) -> Iterator[tuple]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
@@ -199,23 +208,99 @@ def _signed(df: DataFrame, id_col: str, text_col: str, p: int, q: int, width: in
     return df.select(id_col, text_col).mapInArrow(task, schema)
 
 
-def _fragments(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """cid, frag, hashes: each set's hashes by coarse fragment of the global order."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact intersection sizes of all pairs.
+
+    The n-grams that occur more than once are cut, in the global order, into coarse fragments; each fragment's partial
+    overlaps are counted as a product of incidence matrices, and summed per pair.
+    """
+    every = np.concatenate([*left, *right])
+    grams, n = np.unique(every, return_counts=True)
+    grams = grams[n > 1]
+    total = np.zeros((len(left), len(right)), np.int64)
+
+    def places(sets):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(grams, flat)
+        at[at == len(grams)] = 0
+        found = grams[at] == flat if len(grams) else np.zeros(len(flat), bool)
+        return owner[found], at[found]
+
+    a, b = places(left), places(right)
+    for lo in range(0, len(grams), COARSE):
+        parts = []
+        for (owner, at), sets in ((a, left), (b, right)):
+            here = (at >= lo) & (at < lo + COARSE)
+            m = np.zeros((len(sets), min(COARSE, len(grams) - lo)), np.float32)
+            m[owner[here], at[here] - lo] = 1
+            parts.append(m)
+        total += np.rint(parts[0] @ parts[1].T).astype(np.int64)  # below 2**24, so exact
+    return total
+
+
+def spanning_links(left: list[tuple[str, np.ndarray]], right: list[tuple[str, np.ndarray]] | None, p: int, q: int) -> list[tuple[str, str]]:
+    """A spanning forest of the links between two tiles, or within one (``right`` None)."""
+    own = right is None
+    right = left if own else right
+    na, nb = (np.array([len(h) for _, h in t], np.int64) for t in (left, right))
+    common = overlaps([h for _, h in left], [h for _, h in right])
+    linked = q * common >= p * (na[:, None] + nb[None, :] - common)
+    if own:
+        linked = np.triu(linked, 1)
+    shift = 0 if own else len(left)
+    root = list(range(len(left) + (0 if own else len(right))))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = find(i), find(j + shift)
+        if x != y:
+            root[y] = x
+            out.append((left[i][0], right[j][0]))
+    return out
+
+
+def tile_links(rows: DataFrame, p: int, q: int, width: int) -> DataFrame:
+    """a, b: links of rows (blob, i, j, tile, cid, text), dealt by pair of tiles and sorted, so a task holds one pair.
+
+    Texts travel rather than their n-grams: they are smaller. A class met twice in a tile counts once.
+    """
 
     def task(batches):
-        for key, text in _texts(batches, 0, 1):
-            hashes = shingle_hashes(text, width)
-            c1, c2 = _class_of(hashes)
-            cuts = np.searchsorted(hashes, np.array([k * (1 << 62) for k in range(1, COARSE)], np.uint64))
-            parts = np.split(hashes.view(np.int64), cuts)
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{c1:016x}{c2:08x}"] * n), pa.array(range(n), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["cid", "frag", "hashes"])
+        def each():
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))
+
+        found: list[tuple[str, str]] = []
+        for (_, i, j), group in groupby(each(), key=lambda r: r[:3]):
+            tiles: tuple[dict, dict] = ({}, {})
+            for _, _, _, tile, cid, text in group:
+                hashes = shingle_hashes(text, width)
+                if _name(hashes) == cid:  # another text may bear the same id
+                    tiles[tile != i][cid] = hashes
+            left, right = (sorted(t.items(), key=lambda r: r[0]) for t in tiles)
+            if i == j:
+                found += spanning_links(left, None, p, q) if len(left) > 1 else []
+            elif left and right:
+                found += spanning_links(left, right, p, q)
+            if len(found) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
 
-    return df.select(id_col, text_col).mapInArrow(task, "cid string, frag int, hashes array<long>")
+    return rows.select("blob", "i", "j", "tile", "cid", "text").mapInArrow(task, "a string, b string")
 
 
-def _cid() -> Column:
-    return F.concat(F.lpad(F.lower(F.hex("c1")), 16, "0"), F.lpad(F.lower(F.hex("c2")), 8, "0")).alias("cid")
+def _cid(c1: str = "c1", c2: str = "c2") -> Column:
+    return F.concat(F.lpad(F.lower(F.hex(c1)), 16, "0"), F.lpad(F.lower(F.hex(c2)), 8, "0")).alias("cid")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -258,89 +343,73 @@ def jaccard_components(df: DataFrame, threshold: tuple[int, int] = (85, 100), wi
     p, q = threshold
     signed = stored(_signed(df, id_col, text_col, p, q, width), "signed")
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = stored(classes.select(_cid(), "rep", "n"), "classes")
 
-    # Members of signatures that more than one class has.
-    rows = signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "c1", "c2")
+    # Classes that share a signature with another: an edge from each to the first of its signature.
     group = Window.partitionBy("sig")
     key = F.struct("c1", "c2")
-    rows = rows.select("*", F.min(key).over(group).alias("low"), F.max(key).over(group).alias("high")).where("low <> high")
-    members = stored(rows.select("sig", _cid()).distinct(), "members")
-    weak = signed.where("weak").select(_cid()).distinct().join(classes, "cid")
-    n_weak = weak.count()
-
-    size_ok = f"{q} * least(na, nb) >= {p} * greatest(na, nb)"
-    sizes = lambda c, x: classes.select(F.col("cid").alias(c), F.col("n").alias(x))
-    weak_pairs = None
-    if n_weak:  # compared with every set of admissible size: joined by size, so each weak set meets those sizes only
-        spread = weak.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.ceil(F.col("n") * p / q), F.floor(F.col("n") * q / p))).alias("nb"))
-        weak_pairs = spread.join(sizes("b", "nb"), "nb").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "c1", "c2")
+    shared = rows.select("c1", "c2", F.min(key).over(group).alias("low")).where(key != F.col("low"))
+    edges = shared.distinct().select(_cid().alias("b"), _cid("low.c1", "low.c2").alias("a"))
+
+    # Sets without enough fragments meet every set of admissible size (none but in tiny or adversarial inputs).
+    weak = signed.where("weak").select("c1", "c2").distinct().join(classes, ["c1", "c2"])
+    if signed.where("weak").limit(1).count():
+        spread = weak.select(_cid().alias("a"), F.explode(F.sequence(F.ceil(F.col("n") * p / q), F.floor(F.col("n") * q / p))).alias("n"))
+        edges = edges.unionByName(spread.join(classes, "n").select("a", _cid().alias("b")).where("a <> b"))
+
+    blobs = connected_components(edges)
+    named = blobs.select(F.col("node").alias("cid"), F.col("component").alias("blob"))
+    named = named.unionByName(named.select(F.col("blob").alias("cid"), "blob")).distinct()
+    members = stored(named.join(classes.select(_cid(), "rep", "n"), "cid"), "members")
+    drop(blobs)
 
     # The texts of candidate classes, by a bounded table of hash buckets; what passes it wrongly joins with nothing.
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    wanted = members.select("cid").distinct()
-    if n_weak:
-        wanted = wanted.unionByName(weak_pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
-    reps = wanted.join(classes, "cid").select(bucket(F.col("rep")).alias("bucket")).distinct()
-    texts = df.select(id_col, text_col).where(F.col(text_col).isNotNull()).withColumn("bucket", bucket(F.col(id_col)))
-    texts = texts.join(F.broadcast(reps), "bucket", "left_semi")  # at most BUCKETS rows
-    frags = _fragments(texts, id_col, text_col, width).join(wanted, "cid", "left_semi")
-    frags = stored(frags.groupBy("cid", "frag").agg(F.first("hashes").alias("hashes")), "fragments")
-    drop_later = [signed, members, frags, classes]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link: partial overlaps by coarse fragment, summed per pair."""
-        pairs = pairs.join(sizes("a", "na"), "a").join(sizes("b", "nb"), "b").where(size_ok)
-        left = frags.select(F.col("cid").alias("a"), "frag", F.col("hashes").alias("ha"))
-        right = frags.select(F.col("cid").alias("b"), "frag", F.col("hashes").alias("hb"))
-        each = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common"))
-        total = each.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("i"))
-        return total.where(f"{q} * i >= {p} * (na + nb - i)").select("a", "b")
-
-    # Within each signature's group: leaders of ranks [first, last) against members behind them in other components.
-    ranked = stored(members.select("sig", "cid", F.row_number().over(Window.partitionBy("sig").orderBy("cid")).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("size")), "ranked")
-    links = stored(verified(weak_pairs), "links") if n_weak else None
-    first, last, found = 1, 2, [links] if n_weak else []
-    components = connected_components(links) if n_weak else None
-    open_groups = ranked
-    most = ranked.agg(F.max("size")).first()[0] or 0
-    while first < most:
-        if components is not None:
-            names = components.select(F.col("node").alias("cid"), F.col("component"))
-            named = ranked.join(names, "cid", "left").select("sig", "cid", "rank", "size", F.coalesce("component", "cid").alias("component"))
-            several = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-            open_groups = stored(named.where(F.col("size") > first).join(several, "sig", "left_semi"), "open")
-        else:
-            open_groups = ranked.withColumn("component", F.col("cid"))
-        heads = open_groups.where((F.col("rank") >= first) & (F.col("rank") < last)).select("sig", F.col("cid").alias("a"), F.col("rank").alias("ra"), F.col("component").alias("x"))
-        pairs = heads.join(open_groups, "sig").where("rank > ra and component <> x").select("a", F.col("cid").alias("b")).distinct()
-        new = stored(verified(pairs), "links")
-        found.append(new)
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.unionByName(more)
-        old, components = components, connected_components(edges)
-        if old is not None:
-            drop(old, open_groups)
-        first, last = last, last * 8
-        if first < most:
-            left = ranked.join(components.withColumnRenamed("node", "cid"), "cid", "left").groupBy("sig", "size").agg(F.min(F.coalesce("component", "cid")).alias("x"), F.max(F.coalesce("component", "cid")).alias("y"))
-            most = left.where("x <> y").agg(F.max("size")).first()[0] or 0
-
-    if components is None:
-        components = classes.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
-    named = classes.join(components.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").select("cid", "component_id")
-    result = signed.select("doc_id", "n_shingles", _cid()).join(named, "cid", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    result = stored(result, "result")
-    drop(*drop_later, ranked, *found, components)
+    wanted = members.select(bucket(F.col("rep")).alias("bucket")).distinct()  # at most BUCKETS rows
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()).withColumn("bucket", bucket(F.col("rep")))
+    texts = texts.join(F.broadcast(wanted), "bucket", "left_semi").select("rep", "text")
+
+    # Tiles of a blob, by size, and the pairs of tiles whose sizes may match.
+    order = Window.partitionBy("blob").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.count(F.lit(1)).over(order), F.lit(0)) / TILE_SETS + F.coalesce(F.sum("n").over(order), F.lit(0)) / TILE_SHINGLES
+    tiled = stored(members.select("blob", "cid", "rep", "n", F.floor(before).cast("int").alias("tile")), "tiled")
+    spans = tiled.groupBy("blob", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    first = spans.select("blob", F.col("tile").alias("i"), F.col("high").alias("i_high"))
+    second = spans.select("blob", F.col("tile").alias("j"), F.col("low").alias("j_low"))
+    pairs = stored(first.join(second, "blob").where(f"i <= j and (i = j or {q} * i_high >= {p} * j_low)").select("blob", "i", "j"), "pairs")
+    uses = pairs.select("blob", "i", "j", F.col("i").alias("tile")).unionByName(pairs.where("i < j").select("blob", "i", "j", F.col("j").alias("tile")))
+
+    # Narrow rows say where each set goes; then its text moves twice: to them, and to its pairs of tiles.
+    where = stored(uses.join(tiled.select("blob", "tile", "cid", "rep"), ["blob", "tile"]), "uses")
+    dealt = where.join(texts, where["rep"].eqNullSafe(texts["rep"])).select("blob", "i", "j", "tile", "cid", "text")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "blob", "i", "j").sortWithinPartitions("blob", "i", "j")
+    links = stored(tile_links(dealt, p, q, width), "links")
+
+    linked = connected_components(links)
+    sources = linked.select(F.col("node").alias("cid"), "component").unionByName(linked.select(F.col("component").alias("cid"), "component")).distinct()
+    sources = members.select("cid", "rep").join(sources, "cid")
+    smallest = sources.groupBy("component").agg(F.min("rep").alias("component_id"))
+    renamed = sources.join(smallest, "component").select("rep", "cid", "component_id")
+    # Classes without links keep their own smallest id; the few with links are looked up.
+    own = classes.select(_cid(), "rep").join(renamed.select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    result = signed.select("doc_id", "n_shingles", _cid()).join(own, "cid", "left")
+    result = stored(result.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
+    drop(signed, members, tiled, pairs, where, links, linked)
     return result
 
 
 def one_of_each(df: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows of which the id is the smallest of their component, each id once; documents without words stay."""
     parts = jaccard_components(df, threshold, width, id_col, text_col)
-    kept = parts.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    first = df.join(kept, df[id_col].eqNullSafe(kept[id_col]), "left_semi")
-    return first.dropDuplicates([id_col])
+    ids = parts.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("kept"))
+    ids = stored(ids, "ids")
+    # Most ids stay and are met once: their rows pass a bounded table of hash buckets, and their texts are not moved.
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).alias("_bucket")
+    doubtful = F.broadcast(ids.where("rows > 1 or not kept").select(bucket).distinct())  # at most BUCKETS rows
+    rows = df.withColumn("_bucket", bucket)
+    clear = rows.join(doubtful, "_bucket", "left_anti").select(*df.columns)
+    kept = ids.where("kept").select(F.col(id_col).alias("_kept"))
+    rest = rows.join(doubtful, "_bucket", "left_semi").select(*df.columns)
+    rest = rest.join(kept, rest[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    return clear.unionByName(rest)
