@@ -94,4 +94,6 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_embedding(words: Column, size: int = 64) -> Column:
     """Bag of words in ``size`` md5 buckets, not normalised: the deterministic stand-in for an embedding model."""
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    # Bound to a lambda's variable, the buckets are hashed once and not once for each dimension.
+    counts = F.transform(F.array(buckets), lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double")))
+    return F.element_at(counts, 1)
