@@ -10,7 +10,7 @@ def folder(spark, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("tables"))
     texts = []
     for i in range(120):
-        texts.append("BAD!! JUNK!! " * 30 if i % 6 == 0 else " ".join(f"{w}{(i * 7 + k) % 11}x" if k % 3 else w for k, w in enumerate(prose(i, 60).split())))
+        texts.append("BAD!! JUNK!! " * 30 if i % 6 == 0 else " ".join(f"{w}{i}" if k % 3 else w for k, w in enumerate(prose(i, 60).split())))
     texts[10] = texts[8]
     texts[13] += " password=abcdef123456"
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(500, None, None, "s", 0), (501, "", "en", "s", 0), (502, "123 456", None, None, 7)]
