@@ -35,8 +35,12 @@ def locate_anchor(candidates: DataFrame, docs: DataFrame, anchor: str = "anchor"
     asked = F.broadcast(candidates.where(F.length(bare) >= 10).withColumn("_a", bare))
     loose = F.concat(F.lit(r"(?s)\Q"), F.regexp_replace(F.substring("_a", 1, 60), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
     at = F.expr(f"locate(_a, {text})")
-    near = F.expr(f"regexp_instr({text}, _loose)")
-    rows = docs.select("doc_id", text).join(asked.withColumn("_loose", loose), (at > 0) | (near > 0))
+    # The pattern only runs on texts that hold the longest whole word of what it looks for.
+    words = F.split(F.substring("_a", 1, 60), r"\s+")
+    whole = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))
+    longest = F.when(F.size(words) > 1, F.element_at(F.array_sort(whole, lambda x, y: F.length(y) - F.length(x)), 1)).otherwise(F.lit(""))
+    near = F.when((at == 0) & F.contains(F.col(text), F.col("_word")), F.expr(f"regexp_instr({text}, _loose)")).otherwise(F.lit(0))
+    rows = docs.select("doc_id", text).join(asked.withColumn("_loose", loose).withColumn("_word", longest), (at > 0) | (near > 0))
     rows = rows.withColumn("_at", F.when(at > 0, at).otherwise(near) - 1)
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     rows = rows.withColumn("_n", first).where("_n = 1")

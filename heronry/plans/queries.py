@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,7 +270,8 @@ def retrieve_dense(spark, d):
 
 def _bm25(spark, d, k):
     chunks = _once(spark, d)
-    post, dl = index.postings(chunks), index.doc_stats(chunks)
+    # The index is read several times by one plan; as a table of its own it would be stored instead.
+    post, dl = index.postings(chunks).persist(StorageLevel.MEMORY_AND_DISK), index.doc_stats(chunks).persist(StorageLevel.MEMORY_AND_DISK)
     corpus_row = index.corpus_stats(dl)
     return retrieval.bm25(S.gold(spark, d), post, dl, index.term_stats(post, corpus_row), corpus_row, k), chunks
 
