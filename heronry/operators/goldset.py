@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -63,34 +65,103 @@ def sample_sections(docs: DataFrame, seed: int = 42, tabular: bool = False, size
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "attempt", "section_start", "section")
 
 
-def drop_near_duplicates(candidates: DataFrame, existing: DataFrame | None = None, threshold: float = 0.92) -> DataFrame:
-    """Greedy, in candidate order (seq): a question closer than ``threshold`` to an existing or kept one goes.
-
-    The decision is sequential within a query type, and the candidates of a gold set are few; the kernel holds one
-    type's vectors.
+def _unit(rows) -> np.ndarray:
+    v = np.array(rows, float).reshape(len(rows), -1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm == 0, 1, norm)
+
+
+def _near(vectors: np.ndarray, seen: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors are closer than ``threshold`` to one of ``seen``, by blocks of these."""
+    near = np.zeros(len(vectors), bool)
+    for at in range(0, len(seen), 1024):
+        far = np.flatnonzero(~near)
+        near[far] = (vectors[far] @ seen[at : at + 1024].T).max(axis=1, initial=-np.inf) > threshold
+    return near
+
+
+def _greedy(vectors: np.ndarray, threshold: float, block: int = 256) -> np.ndarray:
+    """Which vectors, in their order, are not closer than ``threshold`` to a kept one before them."""
+    kept = np.zeros(len(vectors), bool)
+    for at in range(0, len(vectors), block):
+        part = vectors[at : at + block]
+        gone = _near(part, vectors[:at][kept[:at]], threshold)
+        close = part @ part.T > threshold
+        for i in range(len(part)):
+            if not gone[i]:
+                kept[at + i] = True
+                gone |= close[i]
+    return kept
+
+
+def _saved(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+    """A table written to the shared folder and reread, and its path; what the round ``before`` wrote is deleted."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:  # on one machine
+        folder = "file://" + tempfile.mkdtemp(prefix="heronry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/heronry-dedup-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    if before:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_near_duplicates(candidates: DataFrame, existing: DataFrame | None = None, threshold: float = 0.92, head: int = 8192) -> DataFrame:
+    """Greedy, in candidate order (seq, then query_id) within a query type: a question closer than ``threshold`` to an
+    existing or kept one goes.
+
+    Each round decides the first ``head`` undecided rows of all types on the driver and broadcasts the kept ones;
+    tasks compare them with the other undecided rows in batches, however a type's rows are spread. So there are as
+    many rounds as ``head`` goes into what no earlier round dropped, and all kept pairs of a type are compared.
     """
-
-    def unit(rows) -> np.ndarray:
-        v = np.array(rows, float).reshape(len(rows), -1)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return v / np.where(norm == 0, 1, norm)
-
-    old = unit([r["embedding"] for r in existing.select("embedding").collect()]) if existing is not None else None
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        vectors = unit(table.column("embedding").to_pylist())
-        kept: list[int] = []
-        for i, v in enumerate(vectors):
-            seen = vectors[kept] if kept else np.zeros((0, vectors.shape[1]))
-            if old is not None and len(old):
-                seen = np.concatenate((old, seen))
-            if not len(seen) or (seen @ v).max() <= threshold:
-                kept.append(i)
-        return table.take(kept).select(["query_id", "query_type", "seq"])
-
+    spark = candidates.sparkSession
     kind = candidates.schema["query_id"].dataType.simpleString()
-    return candidates.select("query_id", "query_type", "seq", "embedding").groupBy("query_type").applyInArrow(one, f"query_id {kind}, query_type string, seq long")
+    schema = f"rid long, query_id {kind}, query_type string, seq long, embedding array<double>, kept boolean"
+    rows, path = _saved(candidates.select(F.monotonically_increasing_id().alias("rid"), "query_id", "query_type", F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(False).alias("kept")))
+
+    def sift(rows: DataFrame, path: str, seen: dict, decided: dict[int, bool]) -> tuple[DataFrame, str]:
+        """Marks the kept rows of a head, drops its other rows, and what is near to ``seen`` (by type; key "" for all)."""
+        shared = spark.sparkContext.broadcast((seen, decided))
+
+        def task(batches):
+            seen, decided = shared.value
+            for batch in batches:
+                rids, kinds = batch.column("rid").to_pylist(), batch.column("query_type").to_pylist()
+                kept = np.array(batch.column("kept").to_pylist(), bool)
+                open_ = np.array([r not in decided for r in rids], bool) & ~kept
+                kept |= np.array([decided.get(r, False) for r in rids], bool)
+                stays = kept | open_
+                for name in {k for k, o in zip(kinds, open_) if o}:
+                    at = np.flatnonzero(open_ & np.array([k == name for k in kinds], bool))
+                    vectors = _unit(batch.column("embedding").take(pa.array(at)).to_pylist())
+                    for known in (seen.get(("all",)), seen.get((name, 0))):
+                        if known is not None and len(known):
+                            stays[at] &= ~_near(vectors, known, threshold)
+                embedding = pa.array([None if k else v for k, v in zip(kept, batch.column("embedding").to_pylist())], pa.list_(pa.float64()))
+                out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [embedding, pa.array(kept)], names=["rid", "query_id", "query_type", "seq", "embedding", "kept"])
+                yield out.filter(pa.array(stays))
+
+        return _saved(rows.mapInArrow(task, schema), path)
+
+    if existing is not None:
+        old = _unit([r["embedding"] for r in existing.select("embedding").collect()])
+        rows, path = sift(rows, path, {("all",): old}, {})
+    while True:
+        first = rows.where("not kept").orderBy("seq", "query_id", "rid").limit(head).select("rid", "query_type", "embedding").toArrow()  # ``head`` rows at most
+        if not first.num_rows:
+            return rows.select("query_id", "query_type", "seq")
+        rids, kinds = first.column("rid").to_numpy(), first.column("query_type").to_pylist()
+        seen, decided = {}, {}
+        for name in set(kinds):
+            at = np.array([i for i, k in enumerate(kinds) if k == name])
+            vectors = _unit(first.column("embedding").take(pa.array(at)).to_pylist())
+            kept = _greedy(vectors, threshold)
+            seen[(name, 0)] = vectors[kept]
+            decided |= dict(zip(rids[at].tolist(), kept.tolist()))
+        rows, path = sift(rows, path, seen, decided)
 
 
 def answerable_elsewhere(candidates: DataFrame, score: str = "answerability", threshold: float = 0.7) -> DataFrame:

@@ -506,8 +506,8 @@ def gold_locate_anchor(spark, d):
 
 @query
 def gold_dedup(spark, d):
-    v = S.table(spark, d, "embeddings").where("vec_id < 300")
-    return goldset.drop_near_duplicates(v.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("query_type"), F.col("vec_id").alias("seq"), "embedding"), threshold=0.6)
+    v = S.table(spark, d, "embeddings")
+    return goldset.drop_near_duplicates(v.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("query_type"), F.col("vec_id").alias("seq"), "embedding"))
 
 
 @query

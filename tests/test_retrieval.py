@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heronry.functions import text as X
 from heronry.functions.relevance import span_overlap
 from heronry.operators import clients, cost, goldset, index, metrics, report, retrieval, stats
+from heronry.plans.queries import QUERIES
 from heronry.sources import tables as S
 
 
@@ -165,6 +166,30 @@ def test_gold_filters(spark):
     assert goldset.ingest_reviews(gold, split)[0].count() == 0
 
 
+def test_near_duplicates_equal_brute_force_over_rounds(spark):
+    rng = np.random.RandomState(3)
+    base = rng.normal(size=(40, 8))
+    vectors = np.concatenate([base, base[:20] + rng.normal(scale=0.25, size=(20, 8)), base[:5], base[:20] + rng.normal(scale=0.25, size=(20, 8)), np.zeros((2, 8))])
+    rows = [(i, f"t{i % 2}" if i % 5 else None, int(n), v.tolist()) for i, (n, v) in enumerate(zip(rng.permutation(len(vectors)), vectors))]
+    kept = []
+    for i, kind, n, v in sorted(rows, key=lambda r: r[2]):
+        cosine = lambda w: np.dot(v, w) / max(1e-12, np.linalg.norm(v) * np.linalg.norm(w))
+        if all(k != kind or cosine(w) <= 0.92 for _, k, _, w in kept):
+            kept.append((i, kind, n, v))
+    c = spark.createDataFrame(rows, "query_id long, query_type string, seq long, embedding array<double>").repartition(3)
+    assert len(kept) < len(rows)
+    for head in (7, 1000):
+        assert sorted(r["query_id"] for r in goldset.drop_near_duplicates(c, head=head).collect()) == sorted(r[0] for r in kept)
+
+
+def test_gold_dedup_looks_at_every_vector(spark, tmp_path):
+    rng = np.random.RandomState(4)
+    vectors = rng.normal(size=(700, 64))
+    vectors[650] = vectors[3]
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["query_id"] for r in QUERIES["gold_dedup"](spark, str(tmp_path)).collect()} == set(range(700)) - {650}
+
+
 def test_costs(spark):
     calls = spark.createDataFrame(
         [("s", "text-embedding-3-small", 1_000_000, 0, False), ("s", "claude-sonnet-4-5-20241022", 1_000_000, 1_000_000, False), ("s", "claude-sonnet-4-5-20241022", 1_000_000, 0, True), ("s", "gpt-4o", 1_000_000, 0, True), ("s", "new", 9, 9, False)],
