@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heronry.operators.index import B, K1
 
 RRF_K = 60
+#: Questions and vectors of one block that a task of dense search holds.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 
 
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -19,15 +24,49 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, allowed: Callable[[], Column] | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, mask: Callable[[pa.Table, pa.Table], np.ndarray] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Exact cosine search over unit vectors: every question (query_id, embedding) against every vector.
 
-    Questions are the small side by design (a gold set); AQE still decides from their measured size.
+    Both sides are dealt into blocks of bounded size, each pair of blocks once; only the k best of a block leave its
+    task. ``mask`` gives the pairs of a block that count, from its questions and vectors with all their columns.
+    ``counted`` has as many rows as ``queries`` where these are dear to make. Null vectors take no part; a question
+    only meets vectors of as many components.
     """
-    q = queries.withColumnRenamed("embedding", "_q")
-    pairs = vectors.crossJoin(q) if allowed is None else vectors.join(q, allowed())
-    dot = F.aggregate(F.zip_with("embedding", "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top(pairs.select("query_id", "chunk_id", dot.alias("score")), k)
+    query_blocks, vector_blocks = max(1, math.ceil((counted or queries).count() / QUERY_BLOCK)), max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
+    spread = lambda df, key, n: F.pmod(F.xxhash64(*[F.to_json(F.col(c)) if isinstance(df.schema[c].dataType, StructType) else F.col(c) for c in (key, "embedding")]), F.lit(n))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = queries.where("embedding is not null").withColumn("_qb", spread(queries, "query_id", query_blocks)).withColumn("_vb", numbers(vector_blocks)).withColumn("_dim", F.size("embedding"))
+    right = vectors.where("embedding is not null").withColumn("_vb", spread(vectors, "chunk_id", vector_blocks)).withColumn("_qb", numbers(query_blocks)).withColumn("_dim", F.size("embedding"))
+
+    # Both sides may come from one table: their columns need names and ids of their own.
+    left, right = (df.select(*[F.col(c).alias(side + c) for c in df.columns]) for side, df in (("q_", left), ("v_", right)))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        flat = t.column("embedding").combine_chunks().flatten()
+        return flat.to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+    def search(q: pa.Table, v: pa.Table) -> pa.Table:
+        asked, found, scores = [], [], []
+        q, v = (t.rename_columns([c[2:] for c in t.column_names]) for t in (q, v))
+        if q.num_rows and v.num_rows:
+            v = v.sort_by("chunk_id")  # so that the place decides ties
+            all_scores = matrix(q) @ matrix(v).T
+            allowed = mask(q, v) if mask else None
+            for i, row in enumerate(all_scores):
+                at = np.flatnonzero(allowed[i]) if mask else np.arange(len(row))
+                rounded = np.round(row[at], 9)
+                if len(at) > k:
+                    near = np.flatnonzero(rounded >= np.partition(rounded, len(at) - k)[len(at) - k])
+                    at, rounded = at[near], rounded[near]
+                at = at[np.argsort(-rounded, kind="stable")[:k]]
+                asked += [i] * len(at)
+                found += at.tolist()
+                scores += row[at].tolist()
+        return pa.table({"query_id": q.column("query_id").take(pa.array(asked, pa.int64())), "chunk_id": v.column("chunk_id").take(pa.array(found, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "query_id"), (vectors, "chunk_id"))]
+    keys = ["_qb", "_vb", "_dim"]
+    return top(left.groupBy(*["q_" + c for c in keys]).cogroup(right.groupBy(*["v_" + c for c in keys])).applyInArrow(search, ", ".join([*kinds, "score double"])), k)
 
 
 def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, terms: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -79,9 +118,12 @@ def rerank(hits: DataFrame, texts: DataFrame, queries: DataFrame, client: Callab
 def filtered_dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Dense search under each question's own filters (f_is_table, f_book); false and null filters are none."""
 
-    def allowed() -> Column:
-        table = F.coalesce(~F.col("f_is_table"), F.lit(True)) | F.col("is_table")
-        return table & (F.col("f_book").isNull() | (F.col("f_book") == "") | (F.col("book") == F.col("f_book")))
+    def allowed(q: pa.Table, v: pa.Table) -> np.ndarray:
+        column = lambda t, name: np.array(t.column(name).to_pylist(), dtype=object)[:, None]
+        table, book = column(q, "f_is_table"), column(q, "f_book")
+        is_table = np.equal(column(v, "is_table"), True).astype(bool).T
+        same = np.equal(book, column(v, "book").T).astype(bool)
+        return (is_table | ~np.equal(table, True).astype(bool)) & (same | np.equal(book, None).astype(bool) | np.equal(book, "").astype(bool))
 
     return dense(queries, vectors, k, allowed)
 
@@ -129,7 +171,7 @@ def hyde(queries: DataFrame, write: Callable[[list[str]], list[str]], embed: Cal
 
     kind = queries.schema["query_id"].dataType.simpleString()
     written = queries.select("query_id", "query").mapInArrow(task, f"query_id {kind}, query string")
-    return dense(written.select("query_id", embed(F.col("query")).alias("embedding")), vectors, k)
+    return dense(written.select("query_id", embed(F.col("query")).alias("embedding")), vectors, k, counted=queries)
 
 
 def decomposed(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4, constant: int = RRF_K) -> DataFrame:

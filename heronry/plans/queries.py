@@ -308,6 +308,55 @@ def retrieve_hybrid_rrf(spark, d):
     return _ranked(retrieval.hybrid_rrf(lambda n: a.where(F.col("rank") <= n), lambda n: b.where(F.col("rank") <= n), 20))
 
 
+# The same searches over the whole table. The oracles of the queries above fix 20 questions, so these have none.
+
+
+def _whole_split(spark, d):
+    """Every vector whose id is divisible by 20 as a question (nth is its number), and all vectors."""
+    v = _vectors(spark, d)
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label", F.floor(F.col("vec_id") / 20).alias("nth")), v
+
+
+@query
+def retrieve_dense_all(spark, d):
+    q, v = _whole_split(spark, d)
+    return _ranked(retrieval.dense(q.select("query_id", "embedding"), v.select("chunk_id", "embedding"), 10))
+
+
+@query
+def retrieve_metadata_filter_all(spark, d):
+    q, v = _whole_split(spark, d)
+    q = q.select("query_id", "embedding", (F.col("nth") % 2 == 0).alias("f_is_table"), F.when(F.col("nth") % 3 == 0, F.col("label").cast("string")).alias("f_book"))
+    v = v.select("chunk_id", "embedding", (F.col("vec_id") % 4 == 0).alias("is_table"), F.col("label").cast("string").alias("book"))
+    return _ranked(retrieval.filtered_dense(q, v, 5))
+
+
+def _two_whole_lists(spark, d, n=50):
+    """``_two_lists`` over the whole table: by the question's vector and by the next question's."""
+    q, v = _whole_split(spark, d)
+    other = q.select((F.col("query_id") - 20).alias("query_id"), "embedding").where("query_id >= 0")
+    v = v.select("chunk_id", "embedding")
+    return retrieval.dense(q.select("query_id", "embedding"), v, n), retrieval.dense(other, v, n)
+
+
+@query
+def fuse_rrf_all(spark, d):
+    return _ranked(retrieval.rrf(list(_two_whole_lists(spark, d)), 10))
+
+
+@query
+def retrieve_hybrid_rrf_all(spark, d):
+    a, b = _two_whole_lists(spark, d, 60)
+    return _ranked(retrieval.hybrid_rrf(lambda n: a.where(F.col("rank") <= n), lambda n: b.where(F.col("rank") <= n), 20))
+
+
+@query
+def retrieve_query_decomposition_all(spark, d):
+    q, v = _whole_split(spark, d)
+    parts = q.select(F.floor(F.col("nth") / 5).alias("query_id"), (F.col("nth") % 5).cast("int").alias("part_no"), "embedding")
+    return _ranked(retrieval.decomposed(parts, v.select("chunk_id", "embedding"), 10))
+
+
 @query
 def retrieve_hybrid_rerank(spark, d):
     hits, chunks = _bm25(spark, d, 10)

@@ -74,6 +74,41 @@ def test_dense_and_filters(spark):
     assert hits(True, None) == ["b"] and hits(False, "") == ["a"] and hits(None, "x") == ["a"] and hits(None, "y") == []
 
 
+def test_whole_searches_equal_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 40)
+    rng = np.random.RandomState(6)
+    e = rng.normal(size=(130, 5)).astype(np.float32)
+    e[[7, 90]] = e[40]  # ties go by chunk id
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(e)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    got = lambda name: {(r["query_id"], r["rank"]): int(r["chunk_id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    def best(i, k, allowed=range(130)):
+        return sorted(allowed, key=lambda j: (-scores[i, j], j))[:k]
+
+    def fused(lists, k):
+        seen = {}
+        for n, ids in enumerate(lists):
+            for r, j in enumerate(ids, 1):
+                score, first = seen.get(j, (0.0, (n, r)))
+                seen[j] = (score + 1 / (60 + r), first)
+        return sorted(seen, key=lambda j: (-round(seen[j][0], 9), seen[j][1], j))[:k]
+
+    ranked = lambda lists: {(q, r): j for q, ids in lists.items() for r, j in enumerate(ids, 1)}
+    asked = range(0, 130, 20)
+    assert got("retrieve_dense_all") == ranked({i: best(i, 10) for i in asked})
+    allowed = lambda i: [j for j in range(130) if (i // 20 % 2 or j % 4 == 0) and (i // 20 % 3 or j % 2 == i % 2)]
+    assert got("retrieve_metadata_filter_all") == ranked({i: best(i, 5, allowed(i)) for i in asked})
+    lists = lambda i, n: [best(i, n), *([best(i + 20, n)] if i + 20 < 130 else [])]
+    assert got("fuse_rrf_all") == ranked({i: fused(lists(i, 50), 10) for i in asked})
+    assert got("retrieve_hybrid_rrf_all") == ranked({i: fused(lists(i, 60), 20) for i in asked})
+    parts = {0: [0, 20, 40, 60], 1: [100, 120]}
+    assert got("retrieve_query_decomposition_all") == ranked({q: fused([best(i, 10) for i in ids], 10) for q, ids in parts.items()})
+
+
 def test_parents_fill_from_the_window_start(spark):
     rows = [("b", i * 10, f"c{i}", f"t{i}", 512) for i in range(8)]
     chunks = spark.createDataFrame(rows, "book string, char_start long, chunk_id string, content string, token_count int")
