@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and Shannon entropy in sliding windows over candidate strings.
 
 A window's entropy is kept by incremental counts (one character leaves, one comes in), each character class having
-its own window and threshold; spans on the allow list are suppressed. Offsets are code points, ends exclusive.
+its own window and threshold; parts of a span that are on the allow list are suppressed. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -41,15 +41,30 @@ CLASSES = (
     CharacterClass("alphanumeric", _DIGITS + _LOWER + _UPPER, 20, 3.5),
     CharacterClass("base64", _DIGITS + _LOWER + _UPPER + b"+/_=-", 20, 3.6),
 )
-#: Harmless strings: identifiers, documentation placeholders, runs of the alphabet, dates.
+
+
+def _on(head: str, tail: str) -> str:
+    """A pattern of ``head`` and as much of ``tail``, from its start, as follows."""
+    more = ""
+    for c in reversed(tail):
+        more = f"(?:{c}{more})?"
+    return head + more
+
+
+#: Harmless parts of a candidate: identifiers, documentation placeholders, runs of the alphabet, dates.
 ALLOWED = (
     re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
-    re.compile(rb"example|placeholder|changeme|redacted|dummy|xxxx", re.IGNORECASE),
-    re.compile(rb"0123456789|abcdefghij|qwertyuiop", re.IGNORECASE),
+    re.compile(rb"example|placeholder|changeme|redacted|dummy|x{4,}", re.IGNORECASE),
+    re.compile("|".join((_on("0123456789", "abcdef"), _on("abcdefghij", "klmnopqrstuvwxyz"), _on("qwertyuiop", "asdfghjklzxcvbnm"))).encode(), re.IGNORECASE),
     re.compile(rb"(?:19|20)\d\d-[01]\d-[0-3]\d"),
 )
-#: What may stand before a harmless digest or path.
-ALLOWED_BEFORE = re.compile(rb"(?:sha(?:1|256|384|512)|md5|integrity|commit|checksum)\W{0,3}$|://[^\x20]*$", re.IGNORECASE)
+#: A digest with the word for it on the same line, and a URL (to the next white space, quote or angle bracket).
+DIGEST = re.compile(rb"(?<![0-9a-z])(?:sha(?:1|256|384|512)|md5|integrity|commit|checksum)[^\w\r\n]{0,3}(?:sha(?:1|256|384|512)-)?[0-9a-z+/]{1,128}={0,2}", re.IGNORECASE)
+URL = re.compile(rb"://[^\s\x85\xa0\"'`<>]*")
+#: How far before a candidate a digest's word and a URL may begin.
+DIGEST_BEFORE, URL_BEFORE = 16, 200
+#: White space that Latin-1 lacks; it ends a URL like any other.
+_SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _marks(alphabet: bytes) -> bytes:
@@ -103,6 +118,25 @@ def window_entropies(run: bytes, window: int) -> list[float]:
     return out
 
 
+def outside(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no taken span covers."""
+    for x, y in sorted(taken):
+        if y <= a or x >= b:
+            continue
+        if x > a:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def allowed_parts(raw: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """What of the candidate from ``a`` to ``b`` is on the allow list."""
+    found = [m.span() for p in ALLOWED for m in p.finditer(raw, a, b)]
+    found += [m.span() for m in DIGEST.finditer(raw, max(0, a - DIGEST_BEFORE), b) if m.end() > a]
+    return found + [m.span() for m in URL.finditer(raw, max(0, a - URL_BEFORE), b) if m.end() > a]
+
+
 def entropy_spans(raw: bytes, classes: tuple[CharacterClass, ...] = CLASSES) -> list[tuple[int, int]]:
     """Unions of windows of high entropy that hold two digits and two letters at least, less the allow list."""
     found = []
@@ -130,20 +164,20 @@ def entropy_spans(raw: bytes, classes: tuple[CharacterClass, ...] = CLASSES) ->
                 end = i + w
         if start >= 0:
             spans.append((start, end))
-        for s, e in spans:
-            if any(p.search(raw, max(0, a + s - 16), min(len(raw), a + e + 20)) for p in ALLOWED) or ALLOWED_BEFORE.search(raw[max(0, a + s - 200) : a + s]):
-                continue
-            found.append((a + s, a + e))
+        if spans:
+            allowed = allowed_parts(raw, a, b)
+            found += [x for s, e in spans for x in outside(a + s, a + e, allowed) if any(chr(c).isalnum() for c in raw[x[0] : x[1]])]
     return found
 
 
 def scan(text: str | None) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of all findings, by start and then by kind. High-entropy spans that overlap a base span add nothing."""
+    """(start, kind, end) of all findings, by start and then by kind. Of high-entropy spans what lies outside base spans counts."""
     if not text:
         return []
-    raw = text.encode("latin-1", "replace")  # one byte for each code point; what is outside Latin-1 is in no class
+    raw = (text if text.isascii() else _SPACES.sub("\n", text)).encode("latin-1", "replace")  # one byte for each code point; what is outside Latin-1 is in no class
     base = base_spans(raw)
-    more = [(a, 3, b) for a, b in entropy_spans(raw) if not any(x < b and a < y for x, _, y in base)]
+    taken = [(x, y) for x, _, y in base]
+    more = [(x, 3, y) for a, b in entropy_spans(raw) for x, y in outside(a, b, taken)]
     return [(a, KINDS[k], b) for a, k, b in sorted(base + more)]
 
 

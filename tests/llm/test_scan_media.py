@@ -58,6 +58,26 @@ def test_entropy_adds_spans_and_the_allow_list_takes_them():
     assert [s[1] for s in secret_scan.scan(f"token={KEY}")] == ["assign"]
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [("DB_URL=postgres://db.internal:5432/app\nSIGNING_KEY: ", ""), ("see https://a.b/c\t", ""), ("see https://a.b/c\u3000", ""), ('{"url":"https://a.b","key":"', '"}'), ("2024-01-15 ", ""), ("for example ", ""), ("", " example"), ("checksum:\n", "")],
+)
+def test_the_allow_list_judges_the_candidate_alone(before, after):
+    assert (len(before), "entropy", len(before) + len(KEY)) in secret_scan.scan(before + KEY + after)
+
+
+def test_only_the_allowed_or_known_part_of_a_span_goes():
+    assert secret_scan.scan(f"see https://a.b/{KEY} md5:{KEY}") == []
+    uuid = "123e4567-e89b-42d3-a456-426614174000"
+    assert secret_scan.scan(f"{KEY}/{uuid}") == [(0, "entropy", len(KEY) + 1)]
+    run = "0a1b2c3d" * 3
+    text = f"{KEY}{run}{KEY[::-1]}"
+    found = secret_scan.scan(text)
+    assert any(k == "hex" for _, k, _ in found)
+    covered = {i for a, _, b in found for i in range(a, b)}
+    assert covered == set(range(len(text))) and secret_scan.redact(text, found).replace("[secret]", "") == ""
+
+
 def test_scan_of_tables(spark):
     df = odd_documents(spark).unionByName(documents(spark, [f"token={KEY} x"]).selectExpr("99L as doc_id", "* except (doc_id)"))
     rows = secret_scan.secret_scan(df).collect()
