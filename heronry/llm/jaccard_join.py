@@ -340,6 +340,11 @@ def jaccard_components(df: DataFrame, threshold: tuple[int, int] = (85, 100), wi
     component. Repeated rows are links between equal sets. Rows with a null id take part as copies do, but an id
     that is null is never the smallest; alone, such a row has a null component.
     """
+    return _components(df, threshold, width, id_col, text_col, False)
+
+
+def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: str, text_col: str, classed: bool) -> DataFrame:
+    """``jaccard_components``; if ``classed``, with each row's class (cid) and the first class of its component (root)."""
     p, q = threshold
     signed = stored(_signed(df, id_col, text_col, p, q, width), "signed")
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
@@ -390,26 +395,57 @@ def jaccard_components(df: DataFrame, threshold: tuple[int, int] = (85, 100), wi
     sources = linked.select(F.col("node").alias("cid"), "component").unionByName(linked.select(F.col("component").alias("cid"), "component")).distinct()
     sources = members.select("cid", "rep").join(sources, "cid")
     smallest = sources.groupBy("component").agg(F.min("rep").alias("component_id"))
-    renamed = sources.join(smallest, "component").select("rep", "cid", "component_id")
+    renamed = sources.join(smallest, "component").select("cid", "component", "component_id")
     # Classes without links keep their own smallest id; the few with links are looked up.
-    own = classes.select(_cid(), "rep").join(renamed.select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    own = classes.select(_cid(), "rep").join(renamed, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cid").alias("root"))
     result = signed.select("doc_id", "n_shingles", _cid()).join(own, "cid", "left")
-    result = stored(result.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "result")
+    result = stored(result.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["cid", "root"] if classed else [])), "result")
     drop(signed, members, tiled, pairs, where, links, linked)
     return result
 
 
 def one_of_each(df: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows of which the id is the smallest of their component, each id once; documents without words stay."""
-    parts = jaccard_components(df, threshold, width, id_col, text_col)
-    ids = parts.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("kept"))
+    """One of the input's rows for each component of linked texts: of the smallest id, nulls last, in it.
+
+    Rows are told apart by id and text class, so rows that share an id, or have none, stay if their texts are not
+    linked. Documents without words stay, those of the same id and text once.
+    """
+    parts = _components(df, threshold, width, id_col, text_col, True)
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("cid").alias("cid"))
+    chosen = parts.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("w")).select(F.col("w.id").alias("_kept"), F.col("w.cid").alias("_class"))
+    chosen = stored(chosen, "chosen")
+    ids = parts.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("n_shingles") == 0).alias("bare"))
+    kept = chosen.select("_kept", F.lit(True).alias("kept")).distinct()
+    ids = ids.join(kept, ids[id_col].eqNullSafe(kept["_kept"]), "left").select(F.col(id_col).alias("_id"), (F.col("rows") > 1).alias("_several"), (F.col("bare") | F.coalesce("kept", F.lit(False))).alias("kept"))
     ids = stored(ids, "ids")
     # Most ids stay and are met once: their rows pass a bounded table of hash buckets, and their texts are not moved.
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).alias("_bucket")
-    doubtful = F.broadcast(ids.where("rows > 1 or not kept").select(bucket).distinct())  # at most BUCKETS rows
-    rows = df.withColumn("_bucket", bucket)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_bucket")
+    doubtful = F.broadcast(ids.where("_several or not kept").select(bucket("_id")).distinct())  # at most BUCKETS rows
+    rows = df.withColumn("_bucket", bucket(id_col))
     clear = rows.join(doubtful, "_bucket", "left_anti").select(*df.columns)
-    kept = ids.where("kept").select(F.col(id_col).alias("_kept"))
     rest = rows.join(doubtful, "_bucket", "left_semi").select(*df.columns)
-    rest = rest.join(kept, rest[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
-    return clear.unionByName(rest)
+    asked = ids.where("kept").select("_id", "_several")
+    rest = rest.join(asked, rest[id_col].eqNullSafe(asked["_id"])).drop("_id")
+    rest = _with_class(rest, text_col, width)
+    # The class only decides where an id has several rows; an empty one is that of texts without words.
+    mine = rest[id_col].eqNullSafe(chosen["_kept"]) & (rest["_cid"] == chosen["_class"])
+    rest = rest.join(chosen, mine, "left").where(~F.col("_several") | (F.col("_cid") == "") | F.col("_class").isNotNull())
+    bare = F.when(F.col("_cid") == "", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    rest = rest.withColumn("_bare", bare).dropDuplicates([id_col, "_cid", "_bare"])
+    return clear.unionByName(rest.select(*df.columns))
+
+
+def _with_class(rows: DataFrame, text_col: str, width: int) -> DataFrame:
+    """Adds _cid, the class of the text: null if the row's id is met once (_several is false), empty without words."""
+    at, several = rows.columns.index(text_col), rows.columns.index("_several")
+
+    def task(batches):
+        for batch in batches:
+            found = []
+            for text, asked in zip(batch.column(at).to_pylist(), batch.column(several).to_pylist()):
+                hashes = shingle_hashes(text, width) if asked else ()
+                found.append((_name(hashes) if len(hashes) else "") if asked else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "_cid"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(task, schema + ", _cid string")

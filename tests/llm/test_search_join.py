@@ -73,6 +73,17 @@ def test_join_of_odd_documents(spark):
     assert jaccard_join.one_of_each(df).columns == df.columns
 
 
+def test_one_of_each_decides_by_row(spark):
+    prose = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    alone = [(None, prose(i, 30 + i)) for i in range(20, 25)] + [(7, prose(31, 40)), (7, prose(32, 50))]
+    linked = [(1, prose(2, 45)), (3, prose(2, 45)), (3, prose(33, 35)), (None, prose(2, 45)), (3, prose(33, 35))]
+    bare = [(9, ""), (9, ""), (9, " \n"), (10, None), (None, "\t")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in alone + linked + bare], "doc_id long, text string, n int")
+    expected = [*alone, (1, prose(2, 45)), (3, prose(33, 35)), (9, ""), (9, " \n"), (10, None), (None, "\t")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
 def test_sets_without_enough_fragments_are_compared_in_full(spark, monkeypatch):
     whole = jaccard_join.signatures
     monkeypatch.setattr(jaccard_join, "signatures", lambda h, f, p, q: None if len(h) < 40 else whole(h, f, p, q))
