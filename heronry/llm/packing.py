@@ -64,50 +64,74 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(p, n) for own in groups.values() for p, n in own.items()]
 
 
-def fillings(room: int, most: int, counts: dict[int, int], lengths: list[int], steps: int = 300, keep: int = 3) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, filling) of undominated fillings of the room, the least waste first.
+def fillings(room: int, counts: dict[int, int], slack: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of the room that waste ``slack`` at most, lazily: the least waste first, then those of
+    longer pieces. None stands for a dominated one, so that the caller can count it.
 
-    Fillings are maximal (nothing left fits the waste); longer pieces go first, so of two fillings of the same
-    waste the one of fewer, longer pieces is kept: it leaves the small pieces, that fit everywhere, to others.
+    A filling is dominated (Martello and Toth) if a piece left out could take the place of some of its pieces that fit
+    that piece's place: what went out then fits wherever the piece was.
     """
-    found: dict[int, tuple[int, ...]] = {}
-    left = steps
-    used: dict[int, int] = {}
-
-    def search(room: int, at: int, parts: tuple[int, ...]) -> bool:
-        nonlocal left
-        fitted = False
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n > room or used.get(n, 0) >= counts[n]:
-                continue
-            fitted = True
-            left -= 1
-            used[n] = used.get(n, 0) + 1
-            done = search(room - n, i, (*parts, n))
-            used[n] -= 1
-            if done or left <= 0:
-                return done
-        if not fitted:
-            old = found.get(room)
-            if old is None or len(parts) < len(old):
-                found[room] = parts
-            return room == 0
+    lengths = sorted((n for n, c in counts.items() if c > 0 and n <= room), reverse=True)
+    reach = [1] * (len(lengths) + 1)  # bit s: some of the lengths from here on have the sum s
+    cut = (1 << (room + 1)) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, n, times, step = reach[i + 1], lengths[i], min(counts[lengths[i]], room // lengths[i]), 1
+        while times:
+            step = min(step, times)
+            sums |= sums << step * n & cut
+            times -= step
+            step *= 2
+        reach[i] = sums
+
+    def exact(target: int) -> Iterator[tuple[int, ...]]:
+        stack, parts = [(target, 0)], []
+        while stack:
+            need, i = stack.pop()
+            if not need:
+                yield tuple(parts)
+            while need and i < len(lengths) and reach[i] >> need & 1:
+                n = lengths[i]
+                if n <= need and reach[i] >> need - n & 1 and parts.count(n) < counts[n]:
+                    stack.append((need, i + 1))
+                    parts.append(n)
+                    need, i = need - n, i
+                    if not need:
+                        yield tuple(parts)
+                    continue
+                i += 1
+            # Back to the last branch: the pieces behind it are free again.
+            if stack:
+                while parts and target - sum(parts) != stack[-1][0]:
+                    parts.pop()
+
+    def dominated(parts: tuple[int, ...], waste: int) -> bool:
+        left = sum(1 << n for n, c in counts.items() if c > parts.count(n))
+        if left & (2 << waste) - 1:
+            return True
+        one = many = 0  # sums of one piece, and of two or more
+        for n in parts:
+            many |= (one | many) << n
+            one |= 1 << n
+            if left >> (n + 1) & (1 << waste) - 1:
+                return True
+        for w in range(waste + 1):
+            if many << w & left:
+                return True
         return False
 
-    at = next((i for i, n in enumerate(lengths) if n <= min(room, most)), len(lengths))
-    search(room, at, ())
-    if not found:
-        found[room] = ()
-    return sorted(found.items())[:keep]
+    for waste in range(min(slack, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for parts in exact(room - waste):
+                yield None if dominated(parts, waste) else parts
 
 
 def bin_completion(counts: dict[int, int], capacity: int, budget: int = 20_000) -> tuple[list[Pattern], bool]:
     """Patterns, and whether they are proven to be as few sequences as possible.
 
     Branch and bound, depth first: a node takes the largest length left, and branches over its undominated
-    fillings, each used as often as the counts allow. A branch is cut as soon as its waste exceeds what any packing
-    with one sequence less than the incumbent may waste. ``budget`` bounds the nodes.
+    fillings, each used as often as the counts allow and then less often. A branch is cut as soon as its waste exceeds
+    what any packing with one sequence less than the incumbent may waste. ``budget`` bounds the nodes, dominated
+    fillings included; nothing else is left out, so a search that ends before it proves its result.
     """
     counts = {n: c for n, c in counts.items() if c > 0 and 0 < n <= capacity}
     best = best_fit_decreasing(counts, capacity)
@@ -119,31 +143,36 @@ def bin_completion(counts: dict[int, int], capacity: int, budget: int = 20_000)
     chosen: list[Pattern] = []
     stack: list[tuple[Iterator, int]] = []  # branches open at each depth, and the waste down to it
 
-    def branch() -> Iterator[Pattern]:
+    def branch(waste: int) -> Iterator[Pattern | None]:
         large = max(left)
-        left[large] -= 1
-        rest = {n: c for n, c in left.items() if c}
-        options = fillings(capacity - large, large, rest, sorted(rest, reverse=True))
-        left[large] += 1
-        for _, filling in options:
+        rest = left | {large: left[large] - 1}
+        options = fillings(capacity - large, rest, (size - 1) * capacity - total - waste)
+        for filling in options:
+            if filling is None:
+                yield None
+                continue
             pattern = (large, *filling)
-            need = {n: pattern.count(n) for n in set(pattern)}
-            yield pattern, min(left[n] // k for n, k in need.items())
+            for n in range(min(left[n] // pattern.count(n) for n in set(pattern)), 0, -1):
+                yield pattern, n
 
-    stack.append((branch(), 0))
+    stack.append((branch(0), 0))
     while stack:
         options, waste = stack[-1]
         if len(chosen) >= len(stack):  # back from the branch below: its pieces are free again
             old, k = chosen.pop()
             for x in old:
                 left[x] = left.get(x, 0) + k
-        pattern, n = next(options, (None, 0))
-        if pattern is None:
+        try:
+            option = next(options)
+        except StopIteration:
             stack.pop()
             continue
         nodes += 1
         if nodes > budget:
             return best, False
+        if option is None:
+            continue
+        pattern, n = option
         spent = waste + n * (capacity - sum(pattern))
         if spent > (size - 1) * capacity - total:  # one sequence less cannot waste that much
             continue
@@ -158,8 +187,8 @@ def bin_completion(counts: dict[int, int], capacity: int, budget: int = 20_000)
             if size == bound:
                 return best, True
             continue
-        stack.append((branch(), spent))
-    return best, False  # the branches left out were dominated by heuristic order, so this proves nothing
+        stack.append((branch(spent), spent))
+    return best, True
 
 
 def encoded_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,6 +128,16 @@ def test_bin_completion_is_whole_and_optimal_on_small_inputs():
     assert exact >= 58
 
 
+def test_bin_completion_tries_all_undominated_fillings():
+    counts = dict.fromkeys((512, 502, 460, 419, 409, 307, 205, 155, 103), 1)
+    assert sum(n for _, n in packing.best_fit_decreasing(counts, 1024)) == 4
+    patterns, proven = packing.bin_completion(counts, 1024)
+    assert proven and sum(n for _, n in patterns) == 3 and packed_counts(patterns) == counts
+    assert sorted(f for f in packing.fillings(512, counts | {512: 0}, 0) if f) == [(307, 205), (409, 103)]
+    twice = {n: 2 * c for n, c in counts.items()}
+    assert sum(n for _, n in packing.bin_completion(twice, 1024)[0]) == 6
+
+
 def test_packing_places_every_token_once(spark, library):
     import zlib
 
