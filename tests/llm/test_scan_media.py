@@ -1,7 +1,9 @@
 import hashlib
+import io
 import math
 import re
 import struct
+import zipfile
 import zlib
 
 import pytest
@@ -114,6 +116,42 @@ def test_sniffing_confirms_structure_and_carves():
     assert media.sniff(b"") == (media.OTHER, [])
 
 
+def flac(total=32):
+    """Two frames of 16 samples: a constant one, and one of fixed order 0 whose residual is Rice-coded."""
+    packed = 8000 << 44 | 7 << 36 | total
+    out = b"fLaC\x80\x00\x00\x22" + struct.pack(">HH", 16, 16) + bytes(6) + packed.to_bytes(8) + bytes(16)
+    for n, body in enumerate((b"\x00\x55", bytes([16, 0, 0b01101010]) + b"\xaa" * 3 + b"\x80")):
+        head = b"\xff\xf8\x60\x00" + bytes([n, 15])
+        frame = head + bytes([media._crc(head, 7, 8)]) + body
+        out += frame + media._crc(frame, 0x8005, 16).to_bytes(2)
+    return out
+
+
+def pdf():
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    once = body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+    return once + b"\n2 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % (len(once) + 21)
+
+
+def archive(name, data):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_media_behind_flac_pdf_and_zip_are_carved():
+    assert media._crc(b"123456789", 7, 8) == 0xF4 and media._crc(b"123456789", 0x8005, 16) == 0xFEE8
+    image, first = png(), pdf().index(b"%%EOF") + 5
+    head = b"%PDF-1.4\nxref\n0 1\ntrailer\n<<>>\nstartxref\n0\n%%EOF\n1 0 obj\nendobj\n"
+    for kind, whole in (("audio/flac", flac()), ("audio/flac", flac(0)), ("application/pdf", pdf()), ("application/pdf", head + b"startxref\n9\n%%EOF"), ("application/zip", archive("in.zip", archive("a.txt", b"text")))):
+        found = media.sniff(b"junk" + whole + b"--" + image)
+        assert found == (media.OTHER, [(kind, 4, len(whole)), ("image/png", 6 + len(whole), len(image))])
+        assert media.sniff(whole)[0] == kind
+    assert media._flac(flac()[:-1], 0) is None
+    assert media.sniff(b"junk" + pdf()[:first] + pdf())[1] == [("application/pdf", 4, first), ("application/pdf", 4 + first, len(pdf()))]
+
+
 def test_declared_types_are_corrected(spark):
     rows = [(1, bytearray(png()), "image/gif", 1), (2, bytearray(png()), "image/png", 1), (3, None, None, 1), (4, bytearray(b""), "image/png", 1)]
     df = spark.createDataFrame(rows, "id long, data binary, kind string, media_type int")
