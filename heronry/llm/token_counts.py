@@ -1,7 +1,9 @@
 """Token counts by an exact length histogram.
 
-Documents are aggregated by encoded length. Suffix sums over the distinct lengths then answer, for every context
-limit, how many documents and tokens lie at or above it, what truncation to it keeps, and every quantile.
+Documents are aggregated by encoded length. Suffix sums over the distinct lengths then answer, for every length met as
+a context limit, how many documents and tokens lie at or above it, what truncation to it keeps, and every quantile.
+Any other limit follows exactly from the next lower row of the table, as tokens_kept + docs_over * (limit - length), or
+below the shortest length as docs * limit; ``at_limits`` answers it from the histogram.
 """
 
 from __future__ import annotations
@@ -50,6 +52,23 @@ def context_limit_table(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, docs_within, docs_over, tokens_kept, tokens_lost for any limits, whether such a length occurs or not."""
+    asked = histogram.sparkSession.createDataFrame([(n,) for n in sorted(set(limits))], "limit long")
+    length, n, limit = F.col("context_limit"), F.col("n_docs"), F.col("limit")
+    kept, within = F.least(length, limit) * n, F.when(length <= limit, n).otherwise(0)
+    rows = histogram.crossJoin(F.broadcast(asked)).groupBy("limit")
+    found = rows.agg(F.sum(within).alias("docs_within"), F.sum(n - within).alias("docs_over"), F.sum(kept).alias("tokens_kept"), F.sum(length * n - kept).alias("tokens_lost"))
+    return found.withColumnRenamed("limit", "context_limit")
+
+
+def at_quantiles(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
+    """quantile, context_limit: the least length that the share of documents at most that long reaches."""
+    asked = histogram.sparkSession.createDataFrame([(float(q),) for q in sorted(set(quantiles))], "q double")
+    rows = context_limit_table(histogram).crossJoin(F.broadcast(asked)).where(F.col("quantile") >= F.col("q"))
+    return rows.groupBy(F.col("q").alias("quantile")).agg(F.min("context_limit").alias("context_limit"))
+
+
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``context_limit_table`` of whole texts encoded with the vocabulary at ``path``."""
     return context_limit_table(length_histogram(encoded_lengths(df, path, id_col, text_col)))

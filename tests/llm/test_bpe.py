@@ -138,6 +138,15 @@ def test_bin_completion_tries_all_undominated_fillings():
     assert sum(n for _, n in packing.bin_completion(twice, 1024)[0]) == 6
 
 
+def test_any_limit_and_quantile_is_answered(spark):
+    lengths = [3, 3, 5, 8, 13, 700, 2000]
+    df = token_counts.length_histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long"))
+    limits = [0, 1, 3, 4, 512, 1024, 5000]
+    got = sorted(map(tuple, token_counts.at_limits(df, limits).collect()))
+    assert got == [(x, sum(n <= x for n in lengths), sum(n > x for n in lengths), sum(min(n, x) for n in lengths), sum(max(0, n - x) for n in lengths)) for x in limits]
+    assert sorted(map(tuple, token_counts.at_quantiles(df, [0.0, 0.25, 0.5, 1.0]).collect())) == [(0.0, 3), (0.25, 3), (0.5, 8), (1.0, 2000)]
+
+
 def test_packing_places_every_token_once(spark, library):
     import zlib
 
