@@ -128,15 +128,21 @@ VECTORS = "vec_id long, embedding array<float>, label int, rank int, score strin
 
 
 def brute_topk(rows, k, every):
+    """Each row is a query and a candidate of its own."""
     usable = [(i, [int(np.floor(256.0 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for qi, q in usable:
+    for at, (qi, q) in enumerate(usable):
         if qi % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in usable if i != qi and len(v) == len(q))[:k]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for j, (i, v) in enumerate(usable) if j != at and len(v) == len(q))[:k]
             out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
+def found_topk(spark, rows, every):
+    df = spark.createDataFrame([(i, v, 0, 1, "x", 5, 0.5) for i, v in rows], VECTORS)
+    return sorted(tuple(r) for r in pivot_topk.top_k(df, every=every).select("query_id", "rank", "vec_id", "score").collect())
+
+
 @pytest.mark.parametrize("block", [4096, 13])
 def test_topk_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(pivot_topk, "CANDIDATE_BLOCK", block)
@@ -144,25 +150,62 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(120)]
     rows += [(200 + i, rows[3][1]) for i in range(10)]  # copies: ties go to smaller ids
-    rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (310, [1.0, 2.0]), (320, [2.0, 1.0]), (330, []), (340, [0.0] * 8)]
-    df = spark.createDataFrame([(i, v, 0, 1, "x", 5, 0.5) for i, v in rows], VECTORS)
-    got = sorted(tuple(r) for r in pivot_topk.top_k(df, every=10).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == brute_topk(rows, 5, 10)
-    assert pivot_topk.top_k(df.limit(0)).count() == 0
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (310, [1.0, 2.0]), (320, [2.0, 1.0]), (330, []), (340, [0.0] * 8), (350, [])]
+    assert found_topk(spark, rows, 10) == brute_topk(rows, 5, 10)
+    df = spark.createDataFrame([], VECTORS)
+    assert pivot_topk.top_k(df).count() == 0
 
 
-def test_elimination_stops_early_and_is_exact():
+def test_topk_of_repeated_ids_and_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(pivot_topk, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(pivot_topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i % 70, (centres[i % 6] + rng.normal(size=8) / 50).astype(np.float32).tolist()) for i in range(140)]
+    rows += [(10, rows[0][1])] * 40 + [(0, rows[1][1]), (0, rows[1][1]), (500, rows[1][1])]
+    assert found_topk(spark, rows, 10) == brute_topk(rows, 5, 10)
+
+
+def test_topk_of_large_numbers(spark):
+    rows = [(i, [3e5 * (i + 1), -2e5 * i, 1.0 + i]) for i in range(25)] + [(50, [1e3, 2.0, 3.0])]
+    assert found_topk(spark, rows, 5) == brute_topk(rows, 5, 5)
+
+
+def clusters(n=4000):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16)) * 400
-    data = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 8)
-    pivots = data[:48]
-    table, norms = pivot_topk.distances(data, pivots), (data * data).sum(axis=1)
-    for q in range(5):
-        best, n = pivot_topk.search_block(data[q], table[q], q, np.arange(4000), data, norms, table, 5)
+    return np.floor(centres[rng.integers(0, 20, n)] + rng.normal(size=(n, 16)) * 8)
+
+
+def test_elimination_stops_early_and_is_exact():
+    data = clusters()
+    pivots = pivot_topk.far_apart(data[:960], 48)
+    table = pivot_topk.distances(data, pivots)
+    asked = np.arange(0, 4000, 100)
+    found, n = pivot_topk.search_block(data[asked], table[asked], asked, np.full(len(asked), -np.inf), np.arange(4000), data, table, 5)
+    for q, best in zip(asked, found):
+        scores = data @ data[q]
+        assert [i for i, _ in best] == [int(i) for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
+    assert n < 0.2 * len(asked) * 4000  # most candidates are never evaluated
+
+
+def test_whole_clusters_are_out_of_reach():
+    data = clusters()
+    pivots = pivot_topk.far_apart(data[:960], 20)
+    table = pivot_topk.distances(data, pivots)
+    cell = table.argmin(axis=1)
+    wide = np.column_stack((table, (data * data).sum(axis=1)))
+    cells = sorted(set(cell.tolist()))
+    low, high = (np.array([f(wide[cell == c], axis=0) for c in cells]) for f in (np.min, np.max))
+    visited = 0
+    for q in range(0, 4000, 200):
         scores = data @ data[q]
-        order = [int(i) for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
-        assert [i for i, _ in best] == order
-        assert n < 4000
+        kth = np.sort(scores[cell == cell[q]])[-6]
+        may = pivot_topk.reachable(data[q], table[q], kth, low, high)
+        best = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
+        assert all(may[cells.index(cell[i])] for i in best)
+        visited += may.sum()
+    assert visited < 0.5 * 20 * len(cells)
 
 
 def test_schema_of_documents_is_not_needed(spark):
