@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.llm.bpe import encoded_lengths
+from heronry.llm.common import stored
 
 #: Distinct lengths of one block of the two-level suffix sums: no task sorts more rows than that.
 BLOCK = 4096
@@ -70,5 +71,8 @@ def at_quantiles(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``context_limit_table`` of whole texts encoded with the vocabulary at ``path``."""
-    return context_limit_table(length_histogram(encoded_lengths(df, path, id_col, text_col)))
+    """``context_limit_table`` of whole texts encoded with the vocabulary at ``path``.
+
+    The histogram is stored, as the table of limits reads it twice: each text is encoded once.
+    """
+    return context_limit_table(stored(length_histogram(encoded_lengths(df, path, id_col, text_col)), "lengths"))
