@@ -1,22 +1,28 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global n-gram order has frequent n-grams last, and is by 64-bit hash otherwise; it is cut into fragments, fine
-ones to find candidate pairs and coarse ones to verify them. Which n-grams count as frequent only decides speed.
+The global n-gram order has frequent n-grams last, and is by 64-bit hash otherwise. It is cut into fragments twice: into
+fine ones to find candidates, and into FRAGMENTS + 1 wide ones to count overlaps. Which n-grams count as frequent only
+decides speed.
 
 Candidates. Sets of a and b n-grams with a Jaccard similarity of p/q or more differ in at most
 (q - p)(a + b) / (q + p) n-grams. A set of n n-grams therefore shares with any partner at least one whole non-empty
-fragment among its first F(n) non-empty ones, F(n) being one more than the most differences that a partner of any
+fine fragment among its first F(n) non-empty ones, F(n) being one more than the most differences that a partner of any
 admissible size may have: every fragment that differs costs a difference. Each set emits a signature of each of
 those fragments. The number of fragments is that of a size class (sizes up to twice the least); sets that may have
 partners in the next class emit there too. No link can be missed, and as frequent n-grams lie in fragments of their
 own at the end, passages common to many documents do not make them candidates.
 
 Blobs. Equal sets form one class, so copies are never expanded. Classes that share a signature, directly or by way
-of others, form a blob: every link lies within one. Blobs are dealt into tiles of bounded size.
+of others, form a blob: every link lies within one. Blobs are dealt into tiles of bounded size, by length.
 
-Verification. For each pair of tiles, partial overlaps are counted in each coarse fragment of the order apart and
-summed per pair: exact intersections of all pairs of the tiles, which never leave the task. Only a spanning forest of
-the links does, so neither a large group of near copies nor one of near misses makes many rows.
+Partial counts. Each set of a tile is cut along the global order, and each wide fragment of a pair of tiles goes to a
+task of its own, which counts the overlaps of all its pairs there. Pairs whose lengths do not match, or that already
+differ too much in one fragment, are dropped. The partial counts, packed by pair of tiles, are shuffled once more and
+summed per pair; of the links found only a spanning forest leaves that task.
+
+Large blobs. First each tile is compared with itself and with the first one of its length; then only tiles that are not
+yet of one component, large components apart. A large group of near copies thus costs in proportion to its size;
+only sets that share signatures without being linked are all compared, tile by tile.
 """
 
 from __future__ import annotations
@@ -30,17 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.llm.common import drop, most_frequent, stored
+from heronry.llm.common import drop, most_frequent, new_name, released, stored
 
-#: N-grams of a coarse fragment in which overlaps are counted, and buckets of the bounded prefilter of candidates.
-COARSE, BUCKETS = 4096, 1 << 20
-#: Bounds of a tile: sets, and n-grams (one set may have more).
+#: Wide fragments of the order in which overlaps are counted (a power of two; frequent n-grams have one more), columns
+#: of a product of incidence matrices, and buckets of the bounded prefilter of candidates.
+FRAGMENTS, COARSE, BUCKETS = 4, 4096, 1 << 20
+#: What a tile holds on average: sets, and n-grams (one set may have more).
 TILE_SETS, TILE_SHINGLES = 512, 300_000
 #: Signatures in a batch of output, and words that a worker's memo of hashes holds.
-BATCH, MEMO = 400_000, 500_000
+BATCH, MEMO = 400_000, 200_000
 #: Frequent n-grams at most (they are broadcast), the documents that make one frequent, n-grams of a task counted
 #: together, and repeats among those that are reported.
-FREQUENT, FREQUENT_FROM, COUNTED, REPEATS = 100_000, 16, 2_000_000, 3
+FREQUENT, FREQUENT_FROM, COUNTED, REPEATS = 100_000, 16, 1_000_000, 3
+#: Signatures, or classes of equal sets, that are joined by broadcast as hot ones: at most so many, of at least so many rows.
+HOT, HOT_FROM = 10_000, 256
 _U = np.uint64
 
 
@@ -133,6 +142,26 @@ def _texts(batches, *columns: int) -> Iterator[tuple]:
             yield from zip(*(batch.column(c).slice(lo, 64).to_pylist() for c in columns))
 
 
+def _repeated(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """h, n: the values met REPEATS times or more among COUNTED of a task."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def report():
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= REPEATS
+        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    for values in arrays:
+        held.append(values)
+        size += len(values)
+        if size >= COUNTED:
+            yield report()
+            held, size = [], 0
+    if held:
+        yield report()
+
+
 def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
     """Hashes of the most frequent shingles, FREQUENT at most, ascending; all whole texts are counted.
 
@@ -140,23 +169,9 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
     blocks are undercounted, which only moves them in the order.
     """
 
+    @released
     def task(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def report():
-            shingles, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= REPEATS
-            return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
-
-        for (text,) in _texts(batches, 0):
-            held.append(shingle_hashes(text, width))
-            size += len(held[-1])
-            if size >= COUNTED:
-                yield report()
-                held, size = [], 0
-        if held:
-            yield report()
+        yield from _repeated(shingle_hashes(text, width) for (text,) in _texts(batches, 0))
 
     counts = df.select(text_col).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = stored(counts.where(F.col("n") >= FREQUENT_FROM), "frequent")
@@ -165,11 +180,11 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
     return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, p: int, q: int, width: int) -> DataFrame:
-    """id, n, c1, c2 (the class), sigs, weak: signatures only once a class and task."""
-    often = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, text_col, width))  # bounded by FREQUENT
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, n_shingles long, c1 long, c2 int, sigs array<long>, weak boolean"
+def _signed(df: DataFrame, id_col: str, text_col: str, often, p: int, q: int, width: int) -> DataFrame:
+    """doc_id, t (a hash of the text), n, c1, c2 (the class), sigs, weak: signatures only once a class and task."""
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, t long, n_shingles long, c1 long, c2 int, sigs array<long>, weak boolean"
 
+    @released
     def task(batches):
         frequent = often.value
         seen: set[tuple[int, int]] = set()
@@ -178,7 +193,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, p: int, q: int, width: in
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text in _texts([batch], 0, 1):
+            for key, text, t in _texts([batch], 0, 1, 2):
                 hashes = shingle_hashes(text, width)
                 kind = _class_of(hashes)
                 sigs, weak = None, False
@@ -188,7 +203,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, p: int, q: int, width: in
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(kind)
-                rows.append((key, len(hashes), *kind, sigs, weak))
+                rows.append((key, t, len(hashes), *kind, sigs, weak))
                 held += len(sigs) if sigs is not None else 1
                 if held > BATCH:
                     yield pack(rows, id_type)
@@ -197,15 +212,45 @@ def _signed(df: DataFrame, id_col: str, text_col: str, p: int, q: int, width: in
             yield pack(rows, id_type)
 
     def pack(rows, id_type):
-        keys, n, c1, c2, sigs, weak = zip(*rows)
+        keys, t, n, c1, c2, sigs, weak = zip(*rows)
         sizes = np.array([0 if s is None else len(s) for s in sigs])
         flat = np.concatenate([s for s in sigs if s is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, id_type), pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(c2, pa.int32()), lists, pa.array(weak)], names=["doc_id", "n_shingles", "c1", "c2", "sigs", "weak"]
+            [pa.array(keys, id_type), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(c2, pa.int32()), lists, pa.array(weak)],
+            names=["doc_id", "t", "n_shingles", "c1", "c2", "sigs", "weak"],
         )
 
-    return df.select(id_col, text_col).mapInArrow(task, schema)
+    return df.select(id_col, text_col, _text_hash(text_col)).mapInArrow(task, schema)
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+
+
+def _edges(signed: DataFrame) -> DataFrame:
+    """a, b: rows of ``signed`` whose sets share a signature, each with the first row of that signature.
+
+    Hot signatures, HOT at most, get their first row by an aggregation and a broadcast, so no window holds them.
+    """
+
+    @released
+    def task(batches):
+        yield from _repeated(np.asarray(batch.column(0).flatten()).view(np.uint64) for batch in batches)
+
+    sigs = signed.where("sigs is not null")
+    counts = stored(sigs.select("sigs").mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM), "hot")
+    hot = most_frequent(counts, "n", HOT).select(F.col("h").alias("sig"))
+    # Row numbers are dense, so they take little room in the shuffle beside the signature.
+    rows = sigs.select(F.explode("sigs").alias("sig"), "row")
+    first = F.min("row").over(Window.partitionBy("sig"))
+    found = rows.join(F.broadcast(hot), "sig", "left_anti").select(F.col("row").alias("b"), first.alias("a"))
+    if hot.limit(1).count():
+        few = rows.join(F.broadcast(hot), "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("a"))
+        found = found.unionByName(rows.join(F.broadcast(few), "sig").select(F.col("row").alias("b"), "a"))
+    found = stored(found.where("a <> b").distinct(), "row-edges")
+    drop(counts)
+    return found
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -239,64 +284,129 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def spanning_links(left: list[tuple[str, np.ndarray]], right: list[tuple[str, np.ndarray]] | None, p: int, q: int) -> list[tuple[str, str]]:
-    """A spanning forest of the links between two tiles, or within one (``right`` None)."""
-    own = right is None
-    right = left if own else right
-    na, nb = (np.array([len(h) for _, h in t], np.int64) for t in (left, right))
-    common = overlaps([h for _, h in left], [h for _, h in right])
-    linked = q * common >= p * (na[:, None] + nb[None, :] - common)
-    if own:
-        linked = np.triu(linked, 1)
-    shift = 0 if own else len(left)
-    root = list(range(len(left) + (0 if own else len(right))))
+def forest(pairs: Iterator[tuple[int, int]]) -> list[int]:
+    """Places of the pairs that join parts not joined by those before them."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(linked)):
-        x, y = find(i), find(j + shift)
+    for k, (i, j) in enumerate(pairs):
+        x, y = find(i), find(j)
         if x != y:
             root[y] = x
-            out.append((left[i][0], right[j][0]))
+            out.append(k)
     return out
 
 
-def tile_links(rows: DataFrame, p: int, q: int, width: int) -> DataFrame:
-    """a, b: links of rows (blob, i, j, tile, cid, text), dealt by pair of tiles and sorted, so a task holds one pair.
+def cut(hashes: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The non-empty wide fragments of a set: equal ranges of hashes, and the frequent n-grams at the end."""
+    place = (hashes >> _U(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
+    if len(frequent):
+        place[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes] = FRAGMENTS
+    return [(f, hashes[place == f]) for f in np.unique(place).tolist()]
+
+
+def partial_counts(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, p: int, q: int) -> np.ndarray:
+    """One fragment of two tiles, or of one (``right`` None), as sets (place, size of the whole, n-grams here).
+
+    Rows (place, place, overlap here, overlap that a link needs) of the pairs that may still be linked.
+    """
+    own = right is None
+    right = left if own else right
+    (i, na, a), (j, nb, b) = zip(*left), zip(*right)
+    common = overlaps(list(a), list(b))
+    i, j, na, nb, a, b = (np.array(x, np.int64) for x in (i, j, na, nb, [len(x) for x in a], [len(x) for x in b]))
+    sums = na[:, None] + nb[None, :]
+    may = (common > 0) & (q * np.minimum(na[:, None], nb) >= p * np.maximum(na[:, None], nb)) & (a[:, None] + b - 2 * common <= (q - p) * sums // (q + p))
+    if own:
+        may = np.triu(may, 1)
+    x, y = np.nonzero(may)
+    return np.column_stack((i[x], j[y], common[x, y], -(-p * sums[x, y] // (p + q)))).astype(np.int32)
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))
 
-    Texts travel rather than their n-grams: they are smaller. A class met twice in a tile counts once.
+
+def tile_links(rows: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
+    """blob, i, a, j, b: links of set a of tile i and set b of tile j, a spanning forest of each pair of tiles.
+
+    ``rows`` are the sets of each pair of tiles (blob, i, j, tile, place, cid, text). Fragments are dealt by pair of
+    tiles and fragment, partial counts by pair of tiles; both sorted, so a task holds one such group at a time.
     """
 
-    def task(batches):
-        def each():
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 64):
-                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))
+    @released
+    def fragments(batches):
+        frequent, out = often.value, []
 
-        found: list[tuple[str, str]] = []
-        for (_, i, j), group in groupby(each(), key=lambda r: r[:3]):
+        def pack():
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["blob", "i", "j", "fragment", "tile", "place", "n", "grams"])
+
+        size = 0
+        for blob, i, j, tile, place, cid, text in _rows(batches):
+            hashes = shingle_hashes(text, width)
+            if _name(hashes) != cid:  # hashes of texts may coincide
+                continue
+            out += [(blob, i, j, f, tile, place, len(hashes), grams.tobytes()) for f, grams in cut(hashes, frequent)]
+            size += len(hashes)
+            if size > BATCH:
+                yield pack()
+                out, size = [], 0
+        if out:
+            yield pack()
+
+    @released
+    def count(batches):
+        out, size = [], 0
+        for (blob, i, j, _), group in groupby(_rows(batches), key=lambda r: r[:4]):
             tiles: tuple[dict, dict] = ({}, {})
-            for _, _, _, tile, cid, text in group:
-                hashes = shingle_hashes(text, width)
-                if _name(hashes) == cid:  # another text may bear the same id
-                    tiles[tile != i][cid] = hashes
-            left, right = (sorted(t.items(), key=lambda r: r[0]) for t in tiles)
-            if i == j:
-                found += spanning_links(left, None, p, q) if len(left) > 1 else []
-            elif left and right:
-                found += spanning_links(left, right, p, q)
-            if len(found) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["a", "b"])
-
-    return rows.select("blob", "i", "j", "tile", "cid", "text").mapInArrow(task, "a string, b string")
+            for *_, tile, place, n, grams in group:
+                tiles[tile != i][place] = (place, n, np.frombuffer(grams, np.uint64))
+            left, right = ([t[k] for k in sorted(t)] for t in tiles)
+            if len(left) > 1 if i == j else left and right:
+                found = partial_counts(left, None if i == j else right, p, q)
+                if len(found):
+                    out.append((blob, i, j, found.tobytes()))
+                    size += len(found)
+            if size > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["blob", "i", "j", "counts"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["blob", "i", "j", "counts"])
+
+    @released
+    def total(batches):
+        out = []
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["blob", "i", "a", "j", "b"])
+
+        for (blob, i, j), group in groupby(_rows(batches), key=lambda r: r[:3]):
+            counts = np.frombuffer(b"".join(r[3] for r in group), np.int32).reshape(-1, 4).astype(np.int64)
+            pairs, at, place = np.unique(counts[:, 0] << 32 | counts[:, 1], return_index=True, return_inverse=True)
+            linked = np.bincount(place, weights=counts[:, 2]) >= counts[at, 3]  # whole numbers below 2**53
+            a, b = (pairs[linked] >> 32).tolist(), (pairs[linked] & 0xFFFFFFFF).tolist()
+            shift = 0 if i == j else 1 << 40
+            out += [(blob, i, a[k], j, b[k]) for k in forest(zip(a, (x + shift for x in b)))]
+            if len(out) > 20_000:
+                yield pack()
+                out = []
+        if out:
+            yield pack()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.select("blob", "i", "j", "tile", "place", "cid", "text").mapInArrow(fragments, "blob string, i long, j long, fragment int, tile long, place int, n long, grams binary")
+    cuts = cuts.repartition(parts, "blob", "i", "j", "fragment").sortWithinPartitions("blob", "i", "j", "fragment")
+    counts = cuts.mapInArrow(count, "blob string, i long, j long, counts binary").repartition(parts, "blob", "i", "j").sortWithinPartitions("blob", "i", "j")
+    return counts.mapInArrow(total, "blob string, i long, a int, j long, b int")
 
 
 def _cid(c1: str = "c1", c2: str = "c2") -> Column:
@@ -332,120 +442,155 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return stored(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
 
 
+def _tiled(members: DataFrame, p: int, q: int) -> DataFrame:
+    """``members`` (blob, family, cid, n, ...) with level (of lengths), tile, and place in the tile.
+
+    Sets of a blob, a family and a level are dealt by hash into as many tiles as their counts ask for: only whole
+    tiles, and no larger group, are numbered by a window.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(q / p))).cast("int")  # a link lies within two levels
+    leveled = members.withColumn("level", level)
+    sizes = leveled.groupBy("blob", "family", "level").agg((F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES))).alias("parts"))
+    part = F.pmod(F.xxhash64("cid", F.lit(11)), F.col("parts"))
+    family = F.pmod(F.xxhash64("family", F.lit(12)), F.lit(1 << 20))
+    dealt = leveled.join(sizes, ["blob", "family", "level"]).withColumn("part", part)
+    dealt = dealt.withColumn("tile", (F.col("level").cast("long") * (1 << 20) + family) * (1 << 30) + F.col("part"))
+    place = F.row_number().over(Window.partitionBy("blob", "tile").orderBy("cid")) - 1
+    return dealt.withColumn("place", place.cast("int"))
+
+
+def _links(tiled: DataFrame, pairs: DataFrame, texts: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
+    """a, b: classes linked within the pairs (blob, i, j) of tiles."""
+    uses = pairs.select("blob", "i", "j", F.col("i").alias("tile")).unionByName(pairs.where("i < j").select("blob", "i", "j", F.col("j").alias("tile")))
+    # Narrow rows say where each set goes; then its text moves to them, and its fragments to their tasks.
+    where = stored(uses.join(tiled.select("blob", "tile", "place", "cid", "rep", "rep_t"), ["blob", "tile"]), "uses")
+    bucket = lambda t: F.pmod(t, F.lit(BUCKETS))
+    wanted = F.broadcast(where.select(bucket(F.col("rep_t")).alias("bucket")).distinct())  # at most BUCKETS rows
+    found = texts.withColumn("bucket", bucket(F.col("t"))).join(wanted, "bucket", "left_semi").drop("bucket")
+    found = found.groupBy("id", "t").agg(F.first("text").alias("text"))  # rows alike in both count once
+    dealt = where.join(found, where["rep"].eqNullSafe(found["id"]) & (where["rep_t"] == found["t"])).select("blob", "i", "j", "tile", "place", "cid", "text")
+    links = stored(tile_links(dealt, often, p, q, width), "tile-links")
+    names = tiled.select("blob", "tile", "place", "cid")
+    left = links.join(names.select("blob", F.col("tile").alias("i"), F.col("place").alias("a"), F.col("cid").alias("left")), ["blob", "i", "a"])
+    both = left.join(names.select("blob", F.col("tile").alias("j"), F.col("place").alias("b"), F.col("cid").alias("right")), ["blob", "j", "b"])
+    result = stored(both.select(F.col("left").alias("a"), F.col("right").alias("b")), "links")
+    drop(where, links)
+    return result
+
+
+def _all_links(members: DataFrame, texts: DataFrame, often, p: int, q: int, width: int) -> list[DataFrame]:
+    """Links that connect what is linked: tiles with themselves and with the first of their length, then what is left."""
+    tiled = stored(_tiled(members.withColumn("family", F.lit("")), p, q), "tiled")
+    tiles = tiled.groupBy("blob", "level", "tile", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    firsts = tiles.where("part = 0")
+    near = firsts.alias("x").join(firsts.alias("y"), (F.col("x.blob") == F.col("y.blob")) & (F.col("y.level") == F.col("x.level") + 1)).where(f"{q} * x.high >= {p} * y.low").select("x.blob", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
+    spokes = tiles.where("part > 0").select("blob", (F.col("tile") - F.col("part")).alias("i"), F.col("tile").alias("j"))
+    pairs = stored(tiles.select("blob", F.col("tile").alias("i"), F.col("tile").alias("j")).unionByName(spokes).unionByName(near), "pairs")
+    links = [_links(tiled, pairs, texts, often, p, q, width)]
+
+    # Blobs of more than one tile may have further links, unless they are of one component by now.
+    several = stored(tiles.groupBy("blob").agg(F.count(F.lit(1)).alias("tiles")).where("tiles > 1").select("blob"), "several")
+    if several.limit(1).count():
+        linked = connected_components(links[0])
+        inside = tiled.join(several, "blob", "left_semi").select("blob", "cid", "rep", "rep_t", "n").join(linked, F.col("cid") == F.col("node"), "left")
+        inside = inside.withColumn("component", F.coalesce("component", "cid")).drop("node")
+        large = inside.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= TILE_SETS).select("component", F.col("component").alias("family"))
+        again = stored(_tiled(inside.join(large, "component", "left").na.fill({"family": ""}), p, q), "tiled-again")
+        spans = again.groupBy("blob", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("from"), F.max("component").alias("to"))
+        first = spans.select("blob", *(F.col(c).alias(f"i_{c}") for c in ("tile", "low", "high", "from", "to")))
+        second = spans.select("blob", *(F.col(c).alias(f"j_{c}") for c in ("tile", "low", "high", "from", "to")))
+        apart = (F.col("i_from") != F.col("i_to")) | (F.col("j_from") != F.col("j_to")) | (F.col("i_from") != F.col("j_from"))
+        fits = f"i_tile <= j_tile and {q} * i_high >= {p} * j_low and {q} * j_high >= {p} * i_low"
+        rest = stored(first.join(second, "blob").where(fits).where(apart).select("blob", F.col("i_tile").alias("i"), F.col("j_tile").alias("j")), "pairs")
+        links.append(_links(again, rest, texts, often, p, q, width))
+        drop(linked, again, rest)
+    drop(tiled, pairs, several)
+    return links
+
+
 def jaccard_components(df: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_shingles, component_id.
 
     Documents link when q x intersection >= p x union for ``threshold`` (p, q). component_id is the smallest id
     reachable by links. Documents with null or empty texts, or no words, have n_shingles 0 and are their own
-    component. Repeated rows are links between equal sets. Rows with a null id take part as copies do, but an id
-    that is null is never the smallest; alone, such a row has a null component.
+    component; an empty table gives no rows. Repeated rows are links between equal sets. Rows with a null id take part
+    as copies do, but an id that is null is never the smallest; alone, such a row has a null component. Very long
+    texts are sets like others, in a tile of their own if need be. Only the two named columns are read.
     """
     return _components(df, threshold, width, id_col, text_col, False)
 
 
 def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: str, text_col: str, classed: bool) -> DataFrame:
-    """``jaccard_components``; if ``classed``, with each row's class (cid) and the first class of its component (root)."""
+    """``jaccard_components``; if ``classed``, with each row's t, and the first class of its component (root)."""
     p, q = threshold
-    signed = stored(_signed(df, id_col, text_col, p, q, width), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    often = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, text_col, width))  # bounded by FREQUENT
+    signed = stored(_signed(df, id_col, text_col, often, p, q, width).withColumn("row", F.monotonically_increasing_id()), "signed")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t")
+    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(own).alias("w"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select(_cid(), "c1", "c2", F.col("w.id").alias("rep"), F.col("w.t").alias("rep_t"), "n", "copies"), "classes")
 
-    # Classes that share a signature with another: an edge from each to the first of its signature.
-    group = Window.partitionBy("sig")
-    key = F.struct("c1", "c2")
-    rows = signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), "c1", "c2")
-    shared = rows.select("c1", "c2", F.min(key).over(group).alias("low")).where(key != F.col("low"))
-    edges = shared.distinct().select(_cid().alias("b"), _cid("low.c1", "low.c2").alias("a"))
+    row_edges = _edges(signed)
+    named = signed.select("row", _cid())
+    edges = row_edges.join(named.select(F.col("row").alias("a"), F.col("cid").alias("left")), "a").join(named.select(F.col("row").alias("b"), F.col("cid").alias("right")), "b")
+    edges = edges.select(F.col("left").alias("a"), F.col("right").alias("b")).where("a <> b").distinct()
 
     # Sets without enough fragments meet every set of admissible size (none but in tiny or adversarial inputs).
-    weak = signed.where("weak").select("c1", "c2").distinct().join(classes, ["c1", "c2"])
     if signed.where("weak").limit(1).count():
-        spread = weak.select(_cid().alias("a"), F.explode(F.sequence(F.ceil(F.col("n") * p / q), F.floor(F.col("n") * q / p))).alias("n"))
-        edges = edges.unionByName(spread.join(classes, "n").select("a", _cid().alias("b")).where("a <> b"))
+        weak = signed.where("weak").select("c1", "c2").distinct().join(classes, ["c1", "c2"])
+        spread = weak.select(F.col("cid").alias("a"), F.explode(F.sequence(F.ceil(F.col("n") * p / q), F.floor(F.col("n") * q / p))).alias("n"))
+        edges = edges.unionByName(spread.join(classes, "n").select("a", F.col("cid").alias("b")).where("a <> b"))
 
     blobs = connected_components(edges)
     named = blobs.select(F.col("node").alias("cid"), F.col("component").alias("blob"))
     named = named.unionByName(named.select(F.col("blob").alias("cid"), "blob")).distinct()
-    members = stored(named.join(classes.select(_cid(), "rep", "n"), "cid"), "members")
-    drop(blobs)
-
-    # The texts of candidate classes, by a bounded table of hash buckets; what passes it wrongly joins with nothing.
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    wanted = members.select(bucket(F.col("rep")).alias("bucket")).distinct()  # at most BUCKETS rows
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()).withColumn("bucket", bucket(F.col("rep")))
-    texts = texts.join(F.broadcast(wanted), "bucket", "left_semi").select("rep", "text")
-
-    # Tiles of a blob, by size, and the pairs of tiles whose sizes may match.
-    order = Window.partitionBy("blob").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.count(F.lit(1)).over(order), F.lit(0)) / TILE_SETS + F.coalesce(F.sum("n").over(order), F.lit(0)) / TILE_SHINGLES
-    tiled = stored(members.select("blob", "cid", "rep", "n", F.floor(before).cast("int").alias("tile")), "tiled")
-    spans = tiled.groupBy("blob", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    first = spans.select("blob", F.col("tile").alias("i"), F.col("high").alias("i_high"))
-    second = spans.select("blob", F.col("tile").alias("j"), F.col("low").alias("j_low"))
-    pairs = stored(first.join(second, "blob").where(f"i <= j and (i = j or {q} * i_high >= {p} * j_low)").select("blob", "i", "j"), "pairs")
-    uses = pairs.select("blob", "i", "j", F.col("i").alias("tile")).unionByName(pairs.where("i < j").select("blob", "i", "j", F.col("j").alias("tile")))
+    members = stored(named.join(classes.select("cid", "rep", "rep_t", "n"), "cid"), "members")
+    drop(blobs, row_edges)
 
-    # Narrow rows say where each set goes; then its text moves twice: to them, and to its pairs of tiles.
-    where = stored(uses.join(tiled.select("blob", "tile", "cid", "rep"), ["blob", "tile"]), "uses")
-    dealt = where.join(texts, where["rep"].eqNullSafe(texts["rep"])).select("blob", "i", "j", "tile", "cid", "text")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "blob", "i", "j").sortWithinPartitions("blob", "i", "j")
-    links = stored(tile_links(dealt, p, q, width), "links")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("t")).where(F.col("text").isNotNull())
+    links = _all_links(members, texts, often, p, q, width)
+    linked = connected_components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
 
-    linked = connected_components(links)
     sources = linked.select(F.col("node").alias("cid"), "component").unionByName(linked.select(F.col("component").alias("cid"), "component")).distinct()
     sources = members.select("cid", "rep").join(sources, "cid")
     smallest = sources.groupBy("component").agg(F.min("rep").alias("component_id"))
     renamed = sources.join(smallest, "component").select("cid", "component", "component_id")
     # Classes without links keep their own smallest id; the few with links are looked up.
-    own = classes.select(_cid(), "rep").join(renamed, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cid").alias("root"))
-    result = signed.select("doc_id", "n_shingles", _cid()).join(own, "cid", "left")
-    result = stored(result.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["cid", "root"] if classed else [])), "result")
-    drop(signed, members, tiled, pairs, where, links, linked)
+    final = classes.select("cid", "c1", "c2", "rep", "copies").join(renamed, "cid", "left").select("c1", "c2", "copies", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cid").alias("root"))
+    final = stored(final, "final")
+    # Rows of the classes with most copies, HOT at most, find theirs by broadcast; no other class is hot.
+    hot = F.broadcast(most_frequent(stored(final.where(F.col("copies") >= HOT_FROM), "hot-classes"), "copies", HOT).drop("copies"))
+    rows = signed.select("doc_id", "t", "n_shingles", "c1", "c2")
+    of_hot = rows.join(hot, ["c1", "c2"])
+    others = rows.join(hot.select("c1", "c2"), ["c1", "c2"], "left_anti").join(final.drop("copies"), ["c1", "c2"], "left")
+    result = of_hot.unionByName(others)
+    result = stored(result.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["t", "root"] if classed else [])), "result")
+    drop(signed, classes, members, final, linked, *links)
     return result
 
 
 def one_of_each(df: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One of the input's rows for each component of linked texts: of the smallest id, nulls last, in it.
 
-    Rows are told apart by id and text class, so rows that share an id, or have none, stay if their texts are not
-    linked. Documents without words stay, those of the same id and text once.
+    Rows are told apart by id and text, so rows that share an id, or have none, stay if their texts are not linked.
+    Documents without words stay, those of the same id and text once. Columns are returned as they are, whatever
+    their names; an empty table gives no rows.
     """
     parts = _components(df, threshold, width, id_col, text_col, True)
-    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("cid").alias("cid"))
-    chosen = parts.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("w")).select(F.col("w.id").alias("_kept"), F.col("w.cid").alias("_class"))
-    chosen = stored(chosen, "chosen")
-    ids = parts.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("n_shingles") == 0).alias("bare"))
-    kept = chosen.select("_kept", F.lit(True).alias("kept")).distinct()
-    ids = ids.join(kept, ids[id_col].eqNullSafe(kept["_kept"]), "left").select(F.col(id_col).alias("_id"), (F.col("rows") > 1).alias("_several"), (F.col("bare") | F.coalesce("kept", F.lit(False))).alias("kept"))
-    ids = stored(ids, "ids")
-    # Most ids stay and are met once: their rows pass a bounded table of hash buckets, and their texts are not moved.
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("_bucket")
-    doubtful = F.broadcast(ids.where("_several or not kept").select(bucket("_id")).distinct())  # at most BUCKETS rows
-    rows = df.withColumn("_bucket", bucket(id_col))
-    clear = rows.join(doubtful, "_bucket", "left_anti").select(*df.columns)
-    rest = rows.join(doubtful, "_bucket", "left_semi").select(*df.columns)
-    asked = ids.where("kept").select("_id", "_several")
-    rest = rest.join(asked, rest[id_col].eqNullSafe(asked["_id"])).drop("_id")
-    rest = _with_class(rest, text_col, width)
-    # The class only decides where an id has several rows; an empty one is that of texts without words.
-    mine = rest[id_col].eqNullSafe(chosen["_kept"]) & (rest["_cid"] == chosen["_class"])
-    rest = rest.join(chosen, mine, "left").where(~F.col("_several") | (F.col("_cid") == "") | F.col("_class").isNotNull())
-    bare = F.when(F.col("_cid") == "", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    rest = rest.withColumn("_bare", bare).dropDuplicates([id_col, "_cid", "_bare"])
-    return clear.unionByName(rest.select(*df.columns))
-
-
-def _with_class(rows: DataFrame, text_col: str, width: int) -> DataFrame:
-    """Adds _cid, the class of the text: null if the row's id is met once (_several is false), empty without words."""
-    at, several = rows.columns.index(text_col), rows.columns.index("_several")
-
-    def task(batches):
-        for batch in batches:
-            found = []
-            for text, asked in zip(batch.column(at).to_pylist(), batch.column(several).to_pylist()):
-                hashes = shingle_hashes(text, width) if asked else ()
-                found.append((_name(hashes) if len(hashes) else "") if asked else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "_cid"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(task, schema + ", _cid string")
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("t").alias("t"))
+    chosen = parts.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("w")).select("w.id", "w.t", F.lit(True).alias("kept"))
+    # By id and text: whether the row stays, and whether it is met more than once.
+    keys = parts.groupBy(F.col(id_col).alias("id"), "t").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("n_shingles") == 0).alias("bare"))
+    keys = keys.join(chosen.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "kept"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left")
+    keys = stored(keys.select("id", "t", (F.col("rows") > 1).alias("several"), (F.col("bare") | F.coalesce("kept", F.lit(False))).alias("kept")), "keys")
+    drop(parts)
+    # Most rows stay and are met once: they pass a bounded table of hash buckets, and their texts are not moved.
+    t, bucket = new_name(df, "t"), new_name(df, "bucket")
+    into = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(BUCKETS)).alias(bucket)
+    doubtful = F.broadcast(keys.where("several or not kept").select(into("id", "t")).distinct())  # at most BUCKETS rows
+    rows = df.withColumn(t, _text_hash(text_col))
+    rows = rows.select("*", into(id_col, t))
+    clear = rows.join(doubtful, bucket, "left_anti").select(*df.columns)
+    rest = rows.join(doubtful, bucket, "left_semi").select(*df.columns, t)
+    asked = keys.where("kept").select(F.col("id").alias(new_name(df, "id")), F.col("t").alias(new_name(df, "kept_t")))
+    rest = rest.join(asked, rest[id_col].eqNullSafe(asked[0]) & (rest[t] == asked[1]), "left_semi")
+    return clear.unionByName(rest.dropDuplicates([id_col, t]).select(*df.columns))

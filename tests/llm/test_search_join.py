@@ -52,6 +52,19 @@ def near_copies():
     return texts
 
 
+def near_misses():
+    """Many texts that share signatures; most are linked with few others, some with the first ones."""
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for seed in range(60):
+        words = list(base)
+        rng = random.Random(seed)
+        for k in range(0 if seed < 15 else 12):
+            words[rng.randrange(300)] = f"x{seed}_{k}"
+        texts.append(" ".join(words[: 300 - seed % 7]))
+    return texts
+
+
 def joined(df, **options):
     rows = jaccard_join.jaccard_components(df, **options).collect()
     return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1) for r in rows)
@@ -60,7 +73,7 @@ def joined(df, **options):
 @pytest.mark.parametrize("tile", [512, 3])
 def test_join_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE_SETS", tile)
-    texts = near_copies()
+    texts = near_copies() + near_misses()
     assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
 
 
@@ -118,6 +131,43 @@ def test_partial_overlaps_sum_to_intersections(monkeypatch):
     assert jaccard_join.overlaps(left, right).tolist() == expected
 
 
+def test_fragments_are_dealt_and_their_counts_summed(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64, 80, dtype=np.uint64)) for _ in range(3)]
+    sets.append(np.unique(np.concatenate((sets[0][:70], sets[1][:3]))))
+    frequent = sets[0][::5]
+    parts = [dict(jaccard_join.cut(s, frequent)) for s in sets]
+    assert set(parts[0]) == set(range(jaccard_join.FRAGMENTS + 1))
+    total = {}
+    for f in range(jaccard_join.FRAGMENTS + 1):
+        here = [(k, len(sets[k]), p[f]) for k, p in enumerate(parts) if f in p]
+        for a, b, n, need in jaccard_join.partial_counts(here, None, 10, 100).tolist():
+            total[a, b] = total.get((a, b), 0) + n
+            assert need == -(-10 * (len(sets[a]) + len(sets[b])) // 110)
+    assert total[0, 3] == len(np.intersect1d(sets[0], sets[3]))
+
+
+def test_hot_signatures_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_FROM", 3)
+    texts = near_copies() + near_copies()[:20] * 4
+    assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
+
+
+def test_repeated_and_null_ids_with_other_texts(spark):
+    texts = near_copies()
+    rows = [(None if i % 3 == 0 else i % 5, t) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df) == brute_components(rows)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, prose(i % 3, 40), 77 + i, "a", i, True) for i in range(6)], "doc_id long, text string, _bucket int, t string, _t int, kept boolean")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(i, prose(i, 40), 77 + i, "a", i, True) for i in range(3)]
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(1, 60)] + [("a", f"b{i}") for i in range(50)]
     found = {(r["node"], r["component"]) for r in jaccard_join.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
