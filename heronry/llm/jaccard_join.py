@@ -42,7 +42,7 @@ from heronry.llm.common import drop, most_frequent, new_name, released, stored
 #: of a product of incidence matrices, and buckets of the bounded prefilter of candidates.
 FRAGMENTS, COARSE, BUCKETS = 4, 4096, 1 << 20
 #: What a tile holds on average: sets, and n-grams (one set may have more).
-TILE_SETS, TILE_SHINGLES = 512, 300_000
+TILE_SETS, TILE_SHINGLES = 1024, 400_000
 #: Signatures in a batch of output, and words that a worker's memo of hashes holds.
 BATCH, MEMO = 400_000, 200_000
 #: Frequent n-grams at most (they are broadcast), the documents that make one frequent, n-grams of a task counted
@@ -262,7 +262,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     every = np.concatenate([*left, *right])
     grams, n = np.unique(every, return_counts=True)
     grams = grams[n > 1]
-    total = np.zeros((len(left), len(right)), np.int64)
+    total = np.zeros((len(left), len(right)), np.int32)
 
     def places(sets):
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -280,7 +280,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m = np.zeros((len(sets), min(COARSE, len(grams) - lo)), np.float32)
             m[owner[here], at[here] - lo] = 1
             parts.append(m)
-        total += np.rint(parts[0] @ parts[1].T).astype(np.int64)  # below 2**24, so exact
+        total += np.rint(parts[0] @ parts[1].T).astype(np.int32)  # below 2**24, so exact
     return total
 
 
@@ -311,6 +311,17 @@ def cut(hashes: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]
     return [(f, hashes[place == f]) for f in np.unique(place).tolist()]
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """48 of the bits of each n-gram; with the fragment, which is known, 50 of them are compared."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def partial_counts(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, p: int, q: int) -> np.ndarray:
     """One fragment of two tiles, or of one (``right`` None), as sets (place, size of the whole, n-grams here).
 
@@ -321,12 +332,18 @@ def partial_counts(left: list[tuple[int, int, np.ndarray]], right: list[tuple[in
     (i, na, a), (j, nb, b) = zip(*left), zip(*right)
     common = overlaps(list(a), list(b))
     i, j, na, nb, a, b = (np.array(x, np.int64) for x in (i, j, na, nb, [len(x) for x in a], [len(x) for x in b]))
-    sums = na[:, None] + nb[None, :]
-    may = (common > 0) & (q * np.minimum(na[:, None], nb) >= p * np.maximum(na[:, None], nb)) & (a[:, None] + b - 2 * common <= (q - p) * sums // (q + p))
-    if own:
-        may = np.triu(may, 1)
-    x, y = np.nonzero(may)
-    return np.column_stack((i[x], j[y], common[x, y], -(-p * sums[x, y] // (p + q)))).astype(np.int32)
+    found = [np.zeros((0, 4), np.int32)]
+    for lo in range(0, len(i), 128):
+        here = slice(lo, lo + 128)
+        x, y = np.nonzero(common[here])
+        x += lo
+        keep = (i[x] < j[y]) if own else slice(None)
+        x, y = x[keep], y[keep]
+        n, sums = common[x, y], na[x] + nb[y]
+        may = (q * np.minimum(na[x], nb[y]) >= p * np.maximum(na[x], nb[y])) & (a[x] + b[y] - 2 * n <= (q - p) * sums // (q + p))
+        x, y, n, sums = x[may], y[may], n[may], sums[may]
+        found.append(np.column_stack((i[x], j[y], n, -(-p * sums // (p + q)))).astype(np.int32))
+    return np.concatenate(found)
 
 
 def _rows(batches) -> Iterator[tuple]:
@@ -355,7 +372,7 @@ def tile_links(rows: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
             hashes = shingle_hashes(text, width)
             if _name(hashes) != cid:  # hashes of texts may coincide
                 continue
-            out += [(blob, i, j, f, tile, place, len(hashes), grams.tobytes()) for f, grams in cut(hashes, frequent)]
+            out += [(blob, i, j, f, tile, place, len(hashes), packed(grams)) for f, grams in cut(hashes, frequent)]
             size += len(hashes)
             if size > BATCH:
                 yield pack()
@@ -369,7 +386,7 @@ def tile_links(rows: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
         for (blob, i, j, _), group in groupby(_rows(batches), key=lambda r: r[:4]):
             tiles: tuple[dict, dict] = ({}, {})
             for *_, tile, place, n, grams in group:
-                tiles[tile != i][place] = (place, n, np.frombuffer(grams, np.uint64))
+                tiles[tile != i][place] = (place, n, unpacked(grams))
             left, right = ([t[k] for k in sorted(t)] for t in tiles)
             if len(left) > 1 if i == j else left and right:
                 found = partial_counts(left, None if i == j else right, p, q)
@@ -445,12 +462,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _tiled(members: DataFrame, p: int, q: int) -> DataFrame:
     """``members`` (blob, family, cid, n, ...) with level (of lengths), tile, and place in the tile.
 
-    Sets of a blob, a family and a level are dealt by hash into as many tiles as their counts ask for: only whole
-    tiles, and no larger group, are numbered by a window.
+    A blob that fits is one tile. Sets of others are dealt, by family and level, by hash into as many tiles as their
+    counts ask for: only whole tiles, and no larger group, are numbered by a window.
     """
+    need = F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES)
+    split = members.groupBy("blob").agg((need > 1).alias("split"))
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(q / p))).cast("int")  # a link lies within two levels
-    leveled = members.withColumn("level", level)
-    sizes = leveled.groupBy("blob", "family", "level").agg((F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_SHINGLES))).alias("parts"))
+    leveled = members.join(split, "blob").withColumn("level", F.when(F.col("split"), level).otherwise(0)).withColumn("family", F.when(F.col("split"), F.col("family")).otherwise("")).drop("split")
+    sizes = leveled.groupBy("blob", "family", "level").agg(F.ceil(need).alias("parts"))
     part = F.pmod(F.xxhash64("cid", F.lit(11)), F.col("parts"))
     family = F.pmod(F.xxhash64("family", F.lit(12)), F.lit(1 << 20))
     dealt = leveled.join(sizes, ["blob", "family", "level"]).withColumn("part", part)
