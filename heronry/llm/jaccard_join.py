@@ -228,6 +228,11 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
 
 
+def _id_hash(id_col: str) -> Column:
+    """A key that joins null ids too, by the partitioning that an aggregation by it has."""
+    return F.xxhash64(F.col(id_col), F.col(id_col).isNull())
+
+
 def _edges(signed: DataFrame) -> DataFrame:
     """a, b: rows of ``signed`` whose sets share a signature, each with the first row of that signature.
 
@@ -486,8 +491,9 @@ def _links(tiled: DataFrame, pairs: DataFrame, texts: DataFrame, often, p: int,
     bucket = lambda t: F.pmod(t, F.lit(BUCKETS))
     wanted = F.broadcast(where.select(bucket(F.col("rep_t")).alias("bucket")).distinct())  # at most BUCKETS rows
     found = texts.withColumn("bucket", bucket(F.col("t"))).join(wanted, "bucket", "left_semi").drop("bucket")
-    found = found.groupBy("id", "t").agg(F.first("text").alias("text"))  # rows alike in both count once
-    dealt = where.join(found, where["rep"].eqNullSafe(found["id"]) & (where["rep_t"] == found["t"])).select("blob", "i", "j", "tile", "place", "cid", "text")
+    found = found.groupBy(_id_hash("id").alias("k"), "t").agg(F.first("text").alias("text"))  # rows alike in both count once
+    keyed = where.withColumn("k", _id_hash("rep")).withColumnRenamed("rep_t", "t")
+    dealt = keyed.join(found, ["k", "t"]).select("blob", "i", "j", "tile", "place", "cid", "text")
     links = stored(tile_links(dealt, often, p, q, width), "tile-links")
     names = tiled.select("blob", "tile", "place", "cid")
     left = links.join(names.select("blob", F.col("tile").alias("i"), F.col("place").alias("a"), F.col("cid").alias("left")), ["blob", "i", "a"])
@@ -549,13 +555,18 @@ def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: s
     classes = stored(classes.select(_cid(), "c1", "c2", F.col("w.id").alias("rep"), F.col("w.t").alias("rep_t"), "n", "copies"), "classes")
 
     row_edges = _edges(signed)
+    # Signatures are most of that table, so it goes as soon as they have been used.
+    weak_sets = stored(signed.where("weak").select("c1", "c2").distinct(), "weak")
+    slim = stored(signed.select("doc_id", "t", "n_shingles", "c1", "c2", "row"), "slim")
+    drop(signed)
+    signed = slim
     named = signed.select("row", _cid())
     edges = row_edges.join(named.select(F.col("row").alias("a"), F.col("cid").alias("left")), "a").join(named.select(F.col("row").alias("b"), F.col("cid").alias("right")), "b")
     edges = edges.select(F.col("left").alias("a"), F.col("right").alias("b")).where("a <> b").distinct()
 
     # Sets without enough fragments meet every set of admissible size (none but in tiny or adversarial inputs).
-    if signed.where("weak").limit(1).count():
-        weak = signed.where("weak").select("c1", "c2").distinct().join(classes, ["c1", "c2"])
+    if weak_sets.limit(1).count():
+        weak = weak_sets.join(classes, ["c1", "c2"])
         spread = weak.select(F.col("cid").alias("a"), F.explode(F.sequence(F.ceil(F.col("n") * p / q), F.floor(F.col("n") * q / p))).alias("n"))
         edges = edges.unionByName(spread.join(classes, "n").select("a", F.col("cid").alias("b")).where("a <> b"))
 
@@ -563,7 +574,7 @@ def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: s
     named = blobs.select(F.col("node").alias("cid"), F.col("component").alias("blob"))
     named = named.unionByName(named.select(F.col("blob").alias("cid"), "blob")).distinct()
     members = stored(named.join(classes.select("cid", "rep", "rep_t", "n"), "cid"), "members")
-    drop(blobs, row_edges)
+    drop(blobs, row_edges, weak_sets)
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("t")).where(F.col("text").isNotNull())
     links = _all_links(members, texts, often, p, q, width)
@@ -596,20 +607,19 @@ def one_of_each(df: DataFrame, threshold: tuple[int, int] = (85, 100), width: in
     """
     parts = _components(df, threshold, width, id_col, text_col, True)
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("t").alias("t"))
-    chosen = parts.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("w")).select("w.id", "w.t", F.lit(True).alias("kept"))
+    chosen = parts.where("n_shingles > 0").groupBy("root").agg(F.min(own).alias("w")).select(_id_hash("w.id").alias("k"), "w.t", F.lit(True).alias("kept"))
     # By id and text: whether the row stays, and whether it is met more than once.
     keys = parts.groupBy(F.col(id_col).alias("id"), "t").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("n_shingles") == 0).alias("bare"))
-    keys = keys.join(chosen.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "kept"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left")
+    keys = keys.withColumn("k", _id_hash("id")).join(chosen, ["k", "t"], "left")
     keys = stored(keys.select("id", "t", (F.col("rows") > 1).alias("several"), (F.col("bare") | F.coalesce("kept", F.lit(False))).alias("kept")), "keys")
     drop(parts)
     # Most rows stay and are met once: they pass a bounded table of hash buckets, and their texts are not moved.
-    t, bucket = new_name(df, "t"), new_name(df, "bucket")
+    t, k, bucket = new_name(df, "t"), new_name(df, "k"), new_name(df, "bucket")
     into = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(BUCKETS)).alias(bucket)
     doubtful = F.broadcast(keys.where("several or not kept").select(into("id", "t")).distinct())  # at most BUCKETS rows
     rows = df.withColumn(t, _text_hash(text_col))
     rows = rows.select("*", into(id_col, t))
     clear = rows.join(doubtful, bucket, "left_anti").select(*df.columns)
-    rest = rows.join(doubtful, bucket, "left_semi").select(*df.columns, t)
-    asked = keys.where("kept").select(F.col("id").alias(new_name(df, "id")), F.col("t").alias(new_name(df, "kept_t")))
-    rest = rest.join(asked, rest[id_col].eqNullSafe(asked[0]) & (rest[t] == asked[1]), "left_semi")
-    return clear.unionByName(rest.dropDuplicates([id_col, t]).select(*df.columns))
+    rest = rows.join(doubtful, bucket, "left_semi").select(*df.columns, t, _id_hash(id_col).alias(k))
+    asked = keys.where("kept").select(_id_hash("id").alias(k), F.col("t").alias(t))
+    return clear.unionByName(rest.join(asked, [k, t], "left_semi").dropDuplicates([k, t]).select(*df.columns))
