@@ -1,3 +1,4 @@
+import time
 import hashlib
 import io
 import math
@@ -174,3 +175,22 @@ def test_texts_survive_storage(spark):
     same = [r["feature"] for r in rows if r["doc_id"] in (0, 8)]
     assert same[0] == same[1]
     assert media.text_media(df.limit(0)).count() == 0
+
+
+ADVERSARIAL = [b"%PDF-", b"%PDF-1 startxref 5 %%EOF ", b"PK\3\4", b"PK\3\4PK\5\6" + bytes(18), b"\xff\xd8\xff\xe0\0\2", b"\xff\xd8\xff\xda\0\2", b"GIF87a1234567!!x", b"GIF87a\0\0\0\0\0\0\0!!\5", b"RIFF\xff\xff\1\0WAVE\0\0\0\0", b"\x1f\x8b\x08\0\0\0\0\0", b"BM", b"fLaC"]
+
+
+@pytest.mark.parametrize("unit", ADVERSARIAL)
+def test_texts_full_of_magic_bytes_take_linear_time(unit):
+    began = time.time()
+    media.sniff(unit * (1_500_000 // len(unit)))
+    assert time.time() - began < 10
+
+
+def test_walks_kept_for_one_magic_hold_for_the_others():
+    inner = media.to_wav(b"ab" * 40)
+    outer = media.to_wav(inner + b"zz")
+    data = b"RIFF" + outer + b"%PDF-" + outer + b"GIF87a" + inner[:-3]
+    kind, carved = media.sniff(data)
+    assert kind == media.OTHER
+    assert carved == [("audio/wav", 4, len(outer)), ("audio/wav", 4 + len(outer) + 5, len(outer))]
