@@ -21,13 +21,18 @@ def with_metadata(chunks: DataFrame, strategy: str) -> DataFrame:
     return rows.withColumn("chunk_id", chunk_id(F.col("strategy"), content, F.col("char_start")))
 
 
+def _before(lengths: str, n: Column) -> Column:
+    """The sum of the first n lengths: texts are measured once, not joined again for every chunk."""
+    return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 64, text: str = "text") -> DataFrame:
     """Windows of ``size`` tokens, stepping on while any token is left (so a short tail repeats within the last)."""
     step = size - overlap
-    rows = docs.withColumn("_t", tokens(F.col(text))).where("size(_t) > 0")
-    rows = rows.select(*docs.columns, "_t", F.posexplode(F.sequence(F.lit(0), F.size("_t") - 1, F.lit(step))).alias("chunk_no", "_p"))
-    before = F.array_join(F.slice("_t", F.lit(1), F.col("_p")), "")
-    rows = rows.select(*[c for c in docs.columns if c != text], "chunk_no", F.array_join(F.slice("_t", F.col("_p") + 1, F.lit(size)), "").alias("content"), F.length(before).cast("long").alias("char_start"))
+    rows = docs.withColumn("_t", tokens(F.col(text))).where("size(_t) > 0").withColumn("_p", F.sequence(F.lit(0), F.size("_t") - 1, F.lit(step)))
+    rows = rows.withColumn("_l", F.transform("_p", lambda p: F.length(F.array_join(F.slice("_t", p + 1, F.lit(step)), "")).cast("long")))
+    rows = rows.select(*docs.columns, "_t", "_l", F.posexplode("_p").alias("chunk_no", "_p"))
+    rows = rows.select(*[c for c in docs.columns if c != text], "chunk_no", F.array_join(F.slice("_t", F.col("_p") + 1, F.lit(size)), "").alias("content"), _before("_l", F.col("chunk_no")).alias("char_start"))
     return with_metadata(rows, "fixed_size")
 
 
@@ -113,8 +118,8 @@ def hierarchical(docs: DataFrame, limit: int = 2000, text: str = "md") -> DataFr
     body = F.col(text)
     marked = F.regexp_replace(body, r"(?m)^(?=#{2,4}\s)", "\u001e")
     parts = F.filter(F.transform(F.split(marked, "\u001e"), lambda s: s), lambda s: s != "")
-    rows = docs.withColumn("_s", parts).select("doc_id", "_s", F.posexplode("_s").alias("section_no", "section"))
-    start = F.length(F.array_join(F.slice("_s", F.lit(1), F.col("section_no")), "")).cast("long")
+    rows = docs.withColumn("_s", parts).withColumn("_l", F.transform("_s", lambda s: F.length(s).cast("long"))).select("doc_id", "_l", F.posexplode("_s").alias("section_no", "section"))
+    start = _before("_l", F.col("section_no"))
     rows = rows.select("doc_id", "section_no", "section", start.alias("start")).where("trim(translate(section, '\n\t', '')) <> ''").withColumn("_n", token_count(F.col("section")))
     lead = F.length("section") - F.length(F.regexp_replace("section", r"^\s+", ""))
     small = rows.where(F.col("_n") <= limit).select("doc_id", F.regexp_replace("section", r"^\s+|\s+$", "").alias("content"), (F.col("start") + lead).alias("char_start"))

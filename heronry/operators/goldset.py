@@ -27,23 +27,45 @@ def stratified(candidates: DataFrame, order: Column, targets: dict[str, int] = T
     return candidates.withColumn("n", rank).where(F.col("n") <= F.coalesce(F.try_element_at(wanted, F.col("query_type")), F.lit(0)))
 
 
+#: Consecutive words by which texts are found that may hold an anchor.
+KEY_WORDS = 3
+
+
+def _keys(words: Column) -> Column:
+    """Hashes of all runs of KEY_WORDS words. ``words`` is bound to a variable first, so it is evaluated once."""
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - KEY_WORDS + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.xxhash64(*[F.try_element_at(w, i + n) for n in range(KEY_WORDS)]))
+
+    long = lambda w: F.when(F.size(w) >= KEY_WORDS, runs(w)).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), long)))
+
+
 def locate_anchor(candidates: DataFrame, docs: DataFrame, anchor: str = "anchor", answer: str = "answer", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Where an anchor of ten characters or more first occurs, and the window around it, if it holds the answer.
 
-    Candidates are few and broadcast; documents are scanned once. The earliest document, by id, counts. Anchors not
-    found as they stand are looked for with any white space between their words, by their first 60 characters.
+    The earliest document, by id, counts. Anchors not found as they stand are looked for with any white space between
+    their words, by their first 60 characters.
+
+    Whole words in a row, those behind the first word of an anchor, are the key of an equi-join with the runs of words of
+    all texts; only the few pairs that share one are compared. Anchors with too few words in their first 60 characters
+    for a key are compared with every text.
     """
     bare = F.trim(F.col(anchor))
-    asked = F.broadcast(candidates.where(F.length(bare) >= 10).withColumn("_a", bare))
+    asked = candidates.where(F.length(bare) >= 10).withColumn("_a", bare)
     loose = F.concat(F.lit(r"(?s)\Q"), F.regexp_replace(F.substring("_a", 1, 60), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    asked = asked.withColumn("_loose", loose).withColumn("_words", F.split(F.substring("_a", 1, 60), r"\s+"))
+    whole = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))  # the first and the last may be cut
+    asked = asked.withColumn("_key", F.try_element_at(_keys(whole), F.lit(1)))
+    runs = docs.select("doc_id", F.explode(_keys(F.split(F.col(text), r"\s+"))).alias("_key"))
+    pairs = runs.join(asked.where("_key is not null").select("query_id", "_key"), "_key").select("query_id", "doc_id").distinct()
+    texts = docs.select("doc_id", text)
+    near = pairs.join(asked, "query_id").join(texts, "doc_id")
+    short = asked.where("_key is null")
+    rows = near.unionByName(texts.join(short, F.lit(True)).select(near.columns))
     at = F.expr(f"locate(_a, {text})")
-    # The pattern only runs on texts that hold the longest whole word of what it looks for.
-    words = F.split(F.substring("_a", 1, 60), r"\s+")
-    whole = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))
-    longest = F.when(F.size(words) > 1, F.element_at(F.array_sort(whole, lambda x, y: F.length(y) - F.length(x)), 1)).otherwise(F.lit(""))
-    near = F.when((at == 0) & F.contains(F.col(text), F.col("_word")), F.expr(f"regexp_instr({text}, _loose)")).otherwise(F.lit(0))
-    rows = docs.select("doc_id", text).join(asked.withColumn("_loose", loose).withColumn("_word", longest), (at > 0) | (near > 0))
-    rows = rows.withColumn("_at", F.when(at > 0, at).otherwise(near) - 1)
+    rows = rows.withColumn("_at", F.when(at > 0, at).otherwise(F.expr(f"regexp_instr({text}, _loose)")) - 1).where("_at >= 0")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     rows = rows.withColumn("_n", first).where("_n = 1")
     begin, end = F.greatest(F.lit(0), F.col("_at") - window), F.least(F.length(text), F.col("_at") + F.length("_a") + window)

@@ -179,10 +179,13 @@ def decomposed(queries: DataFrame, vectors: DataFrame, k: int, most: int = 4, co
 
     A question of one part is plain dense search.
     """
-    parts = queries.where(F.col("part_no") < most).select(F.struct("query_id", "part_no").alias("part"), "embedding")
+    asked = queries.where(F.col("part_no") < most)
+    parts = asked.select(F.struct("query_id", "part_no").alias("part"), "embedding")
     hits = dense(parts.withColumnRenamed("part", "query_id"), vectors, k)
-    rows = hits.select("query_id.query_id", F.col("query_id.part_no").alias("list_no"), "rank", "chunk_id")
-    return fuse(rows, k, constant)
+    rows = hits.select("query_id.query_id", F.col("query_id.part_no").alias("list_no"), "rank", "chunk_id", "score")
+    rows = rows.join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts")), "query_id")
+    alone = rows.where("parts = 1").select("query_id", "chunk_id", "score", "rank")
+    return fuse(rows.where("parts > 1"), k, constant).select("query_id", "chunk_id", "score", "rank").unionByName(alone)
 
 
 METHODS = ("dense", "bm25", "hybrid_rrf", "hybrid_rerank", "metadata_filter", "small_to_big", "hyde", "query_decomposition")

@@ -69,22 +69,36 @@ def placeholder_gold(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, GOLD_SCHEMA)
 
 
+#: Documents, by id, of one block of the two-level prefix sums of lengths.
+SECTION_BLOCK = 1 << 16
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown corpus derived from ``documents``: book (the source), doc_id, lang, md and its start in the book.
 
-    A book's sections follow by doc_id. Some bodies lie in a fence, some begin with a pipe table.
+    A book's sections follow by doc_id, which is unique. Some bodies lie in a fence, some begin with a pipe table.
+    Starts are prefix sums of lengths in two levels, blocks of ids and sections in a block; only ids and lengths are
+    sorted for them, and texts meet their start by doc_id.
     """
-    book = Window.partitionBy("source").orderBy("doc_id")
     body = (
         F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("```text\n"), F.col("text"), F.lit("\n```")))
         .when(F.col("doc_id") % 5 == 0, F.concat(F.lit("| key | value |\n| --- | --- |\n| lang | "), F.col("lang"), F.lit(" |\n| doc | "), F.col("doc_id").cast("string"), F.lit(" |\n\n"), F.col("text")))
         .otherwise(F.col("text"))
     )
-    head = F.when(F.row_number().over(book) == 1, F.concat(F.lit("## Book "), F.col("source"), F.lit("\n\n"))).otherwise(F.lit(""))
+    head = F.concat(F.lit("## Book "), F.col("book"), F.lit("\n\n"))
     note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#### "), F.col("lang"), F.lit(" notes\n\n"))).otherwise(F.lit(""))
-    md = F.concat(head, F.lit("### doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), note, body, F.lit("\n\n"))
-    out = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("book"), md.alias("md"), F.col("source"))
-    return out.withColumn("start", F.sum(F.length("md")).over(book) - F.length("md")).drop("source")
+    md = F.concat(F.lit("### doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), note, body, F.lit("\n\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("book"), md.alias("md"))
+    sizes = docs.select("doc_id", "book", F.length("md").alias("n"), F.floor(F.col("doc_id") / SECTION_BLOCK).alias("block"))
+    whole = sizes.groupBy("book", "block").agg(F.sum("n").alias("total"), F.min("doc_id").alias("least"))
+    book = Window.partitionBy("book").orderBy("block")
+    blocks = whole.select("book", "block", (F.sum("total").over(book) - F.col("total")).alias("before"), F.min("least").over(Window.partitionBy("book")).alias("first"))
+    inside = Window.partitionBy("book", "block").orderBy("doc_id")
+    starts = sizes.withColumn("here", F.sum("n").over(inside) - F.col("n")).join(blocks, ["book", "block"])
+    is_first = F.col("doc_id") == F.col("first")
+    start = F.when(is_first, F.lit(0).cast("long")).otherwise(F.col("before") + F.col("here") + F.length(head))
+    starts = starts.select("doc_id", is_first.alias("leads"), start.alias("start"))
+    return docs.join(starts, "doc_id").select("doc_id", "lang", "book", F.when(F.col("leads"), F.concat(head, F.col("md"))).otherwise(F.col("md")).alias("md"), "start")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
