@@ -250,9 +250,13 @@ ORACLES: dict[str, str] = {
         SELECT chunk_id, count(*) AS terms, sum(tf)::BIGINT AS tf, max(term) AS last_term FROM post GROUP BY chunk_id""",
     "index_doc_stats": f"WITH {CHUNKS} SELECT chunk_id, max(len(regexp_extract_all(lower(content), '{WORD}')))::BIGINT AS dl FROM chunks GROUP BY chunk_id",
     "index_term_stats": f"""WITH {CHUNKS},
-        post AS (SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '{WORD}')) AS term FROM chunks)),
-        dfs AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM chunks) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf FROM post GROUP BY term)
-        SELECT term, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM dfs) ELSE raw_idf END, 6) AS idf FROM dfs""",
+        words AS MATERIALIZED (SELECT chunk_id, list_distinct(regexp_extract_all(lower(content), '{WORD}')) AS terms FROM chunks),
+        total AS MATERIALIZED (SELECT count(*) AS n FROM words),
+        once_each AS (SELECT DISTINCT chunk_id, unnest(terms) AS term FROM words),
+        dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM once_each GROUP BY term),
+        raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM dfs, total),
+        mean AS MATERIALIZED (SELECT avg(raw_idf) AS m FROM raws)
+        SELECT term, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * m ELSE raw_idf END, 6) AS idf FROM raws, mean""",
     "index_vectors": f"WITH {VECTORS} SELECT vec_id, round(list_inner_product(e, list_transform(range(1, len(e) + 1), lambda i: i::DOUBLE)), 6) AS weighted, round(list_inner_product(e, e), 6) AS norm FROM v",
     "retrieve_dense": f"WITH {VECTORS} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, {DENSE_RANK} AS rank FROM near) WHERE rank <= 10",
     "retrieve_bm25": f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits WHERE rank <= 10",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions import text as X
 from heronry.functions.relevance import span_overlap
-from heronry.operators import chunkers, clients, corpus, cost, goldset, index, metrics, report, retrieval, stats
+from heronry.operators import chunkers, clients, corpus, cost, goldset, index, metrics, report, retrieval, runner, stats
 from heronry.sources import tables as S
 
 QUERIES = {}
@@ -616,6 +616,33 @@ def gold_ingest_reviews(spark, d):
     return kept.select("query_id", "query_type", "validator")
 
 
+# Runs
+
+
+def _run(spark, d, strategies, methods, phase):
+    """Gold questions over the Markdown corpus; their contexts are offsets in its books."""
+    sections = S.sections(spark, d)
+    g = S.gold(spark, d).withColumn("query", F.array_join("terms", " "))
+    at = goldset.locate_anchor(g.select("query_id", F.col("passage").alias("anchor"), "answer"), sections.select("doc_id", "md"), text="md")
+    at = at.join(sections.select("doc_id", "start"), "doc_id").select("query_id", F.array(F.struct((F.col("start") + F.col("char_start")).alias("char_start"), (F.col("start") + F.col("char_end")).alias("char_end"))).alias("contexts"))
+    none = F.array().cast("array<struct<char_start: long, char_end: long>>")
+    questions = g.join(at, "query_id", "left").select("query_id", "query", "terms", "answer", F.coalesce("contexts", none).alias("contexts"), F.when(F.col("contexts").isNull(), "distractor").otherwise(F.col("query_type")).alias("query_type"))
+    found = runner.run(sections, questions, strategies, methods, S.shared_path(spark, "results"), phase)
+    return found.select("strategy", "method", F.col("k").cast("long").alias("k"), F.col("trial").cast("long").alias("trial"), "query_id", "query_type", *[F.round(m, 6).alias(m) for m in ("recall", "mrr", "ndcg", "hit", "table_integrity")])
+
+
+@query
+def phase1_results(spark, d):
+    """Chunking strategies under dense search."""
+    return _run(spark, d, list(runner.CHUNKERS), ["dense"], "phase1")
+
+
+@query
+def phase2_results(spark, d):
+    """All retrieval methods over three strategies."""
+    return _run(spark, d, ["recursive", "markdown_hierarchical", "table_aware"], list(runner.RETRIEVERS), "phase2")
+
+
 # Results
 
 

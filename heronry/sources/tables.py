@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,17 @@ def write_results(df: DataFrame, path: str, phase: str) -> None:
     df.withColumn("phase", F.lit(phase)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("phase").parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; where that is unset, in a temporary folder if Spark is one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="heronry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/heronry-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def index_exists(spark: SparkSession, *paths: str) -> bool:
     """Whether all artefacts of an index are there, so that a build can be skipped."""
     jvm = spark.sparkContext._jvm
