@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from heronry.operators.retrieval import METHODS as RETRIEVAL_METHODS
 from heronry.sources.tables import METHODS, QUERY_TYPES, STRATEGIES
 
 NL = "chr(10)"
@@ -322,7 +323,7 @@ ORACLES: dict[str, str] = {
     "cohen_kappa": """SELECT n, round((po - pe) / (1 - pe), 6) AS kappa FROM (
         SELECT count(*) AS n, avg((quality = toxic)::INT) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)""",
     "gold_build": f"""WITH {GOLD} SELECT query_id, query_type, n, query FROM (SELECT query_id, query_type, array_to_string(terms, ' ') AS query, row_number() OVER (PARTITION BY query_type ORDER BY md5(query_id)) AS n FROM gold)
-        WHERE n <= CASE query_type WHEN 'lore' THEN 5 WHEN 'mechanical' THEN 5 WHEN 'tabular' THEN 4 WHEN 'cross_reference' THEN 3 WHEN 'monster' THEN 2 ELSE 1 END""",
+        WHERE n <= CASE query_type WHEN 'lore' THEN 25 WHEN 'mechanical' THEN 25 WHEN 'tabular' THEN 20 WHEN 'cross_reference' THEN 15 WHEN 'monster' THEN 10 ELSE 5 END""",
     "gold_locate_anchor": f"WITH {GOLD} SELECT query_id, doc_id, char_start, char_end FROM located",
     "gold_distractors": f"WITH {GOLD} SELECT query_id, 'distractor' AS query_type, 'NOT_IN_CORPUS' AS answer FROM (SELECT query_id FROM gold ORDER BY md5(query_id) LIMIT 10)",
     "gold_section_sample": """SELECT doc_id, loc::BIGINT AS section_start, md5(substr(text, loc + 1, 3500)) AS section_md5
@@ -337,7 +338,7 @@ ORACLES: dict[str, str] = {
         FROM rows_ r LEFT JOIN documents d ON r.doc_id = d.doc_id""",
     "gold_ingest_reviews": f"WITH {GOLD_ROWS} SELECT query_id, query_type, 'human' AS validator FROM rows_ WHERE n % 5 <> 0 AND n % 13 <> 0",
     "phase1_grid": f"SELECT unnest({names(STRATEGIES)}) AS strategy, 'dense' AS method, 5::BIGINT AS rows",
-    "phase2_grid": "SELECT * FROM (VALUES ('bm25', 1, 12::BIGINT), ('hyde', 1, 12), ('hyde', 2, 12), ('hyde', 3, 12)) t(method, trial, rows)",
+    "phase2_grid": f"SELECT method, unnest(range(1, CASE WHEN method IN ('hyde', 'query_decomposition') THEN 4 ELSE 2 END)) AS trial, {5 * len(STRATEGIES)}::BIGINT AS rows FROM (SELECT unnest({names(RETRIEVAL_METHODS)}) AS method)",
     "routing_table": f"WITH {RESULTS}, {best("query_type <> 'distractor'")} SELECT query_type, strategy, method, round(mean, 6) AS mean, n FROM best WHERE r = 1",
     "routing_policy": f"""WITH {RESULTS}, {best("query_type <> 'distractor'")},
         single AS (SELECT strategy, method, avg(recall) AS single, avg(recall) FILTER (query_type <> 'distractor') AS same FROM results WHERE k = 10 GROUP BY strategy, method ORDER BY round(avg(recall), 9) DESC, strategy, method LIMIT 1),

@@ -500,7 +500,7 @@ def _scores(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(_scores(spark, d), resamples=1000)
+    return stats.bootstrap_ci(_scores(spark, d))
 
 
 @query
@@ -514,12 +514,12 @@ def _by_query(spark, d):
 
 @query
 def paired_bootstrap(spark, d):
-    return stats.paired_bootstrap(stats.pairs(_by_query(spark, d)), resamples=1000)
+    return stats.paired_bootstrap(stats.pairs(_by_query(spark, d)))
 
 
 @query
 def pairwise_significance(spark, d):
-    return stats.pairwise(_by_query(spark, d), resamples=1000)
+    return stats.pairwise(_by_query(spark, d))
 
 
 @query
@@ -543,8 +543,7 @@ def cohen_kappa(spark, d):
 
 @query
 def gold_build(spark, d):
-    targets = {t: n // 5 for t, n in goldset.TARGETS.items()}
-    return goldset.stratified(S.gold(spark, d).withColumn("query", F.array_join("terms", " ")), F.md5("query_id"), targets).select("query_id", "query_type", F.col("n").cast("long").alias("n"), "query")
+    return goldset.stratified(S.gold(spark, d).withColumn("query", F.array_join("terms", " ")), F.md5("query_id")).select("query_id", "query_type", F.col("n").cast("long").alias("n"), "query")
 
 
 @query
@@ -653,7 +652,7 @@ def phase1_grid(spark, d):
 
 @query
 def phase2_grid(spark, d):
-    return report.grid(spark, list(S.STRATEGIES), ["bm25", "hyde"], [1, 10]).groupBy("method", "trial").agg(F.count(F.lit(1)).alias("rows"))
+    return report.grid(spark, list(S.STRATEGIES), list(retrieval.METHODS), list(metrics.K_VALUES)).groupBy("method", "trial").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
