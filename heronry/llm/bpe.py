@@ -27,7 +27,7 @@ from heronry.llm.common import block_map, drop, flat_map, most_frequent, stored
 #: The pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker's memo holds before it starts anew, and the characters of the lexicon's longest word.
-MEMO_ENTRIES, MEMO_LENGTH = 300_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 600_000, 48
 #: Words up to this many bytes are merged together, array-wise; longer ones each by a heap.
 SHORT_WORD = 48
 
