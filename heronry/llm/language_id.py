@@ -23,7 +23,7 @@ LONGEST = 5
 MAX_DOCS, MAX_WORDS, MAX_GRAMS = 6_000, 40_000, 60_000
 #: Evidence is weighed as if it came from at most this many words, so long texts do not all score exactly 1.
 EVIDENCE = 25.0
-MEMO = 250_000
+MEMO = 150_000
 UNKNOWN = "und"
 
 
