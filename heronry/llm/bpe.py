@@ -27,7 +27,7 @@ from heronry.llm.common import block_map, drop, flat_map, most_frequent, stored
 #: The pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker's memo holds before it starts anew, and the characters of the lexicon's longest word.
-MEMO_ENTRIES, MEMO_LENGTH = 300_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 800_000, 48
 #: Words up to this many bytes are merged together, array-wise; longer ones each by a heap.
 SHORT_WORD = 48
 
@@ -253,15 +253,15 @@ def map_lexicon(block: bytes) -> Lexicon:
 class Encoder:
     """Encodes whole texts to ids packed as little-endian unsigned 32-bit integers, and decodes them."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo: int = MEMO_ENTRIES):
+        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, memo
         self.pieces = regex.compile(PATTERN).findall
         self.words: dict[str, bytes] = {}  # ids of pre-tokens
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def learn(self, new: set[str], held: set[str]) -> None:
         """Puts pre-tokens into the memo: by the lexicon, or else by exact merging. ``held`` are all needed next."""
-        if len(self.words) + len(new) > MEMO_ENTRIES:
+        if len(self.words) + len(new) > self.memo:
             self.words.clear()
             new = held
         new = list(new)
@@ -312,15 +312,15 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
+_LOADED: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, block: bytes | None = None) -> Encoder:
+def encoder(path: str, block: bytes | None = None, memo: int = MEMO_ENTRIES) -> Encoder:
     """The worker's encoder for a vocabulary file and a lexicon; kept from task to task."""
-    key = (path, hashlib.sha1(block).hexdigest() if block else "")
+    key = (path, hashlib.sha1(block).hexdigest() if block else "", memo)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(Vocabulary(path), map_lexicon(block) if block else None)
+        _LOADED[key] = Encoder(Vocabulary(path), map_lexicon(block) if block else None, memo)
     return _LOADED[key]
 
 
