@@ -42,7 +42,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document's tokens, with its sequence and place; null texts count as empty."""
-    return packing.pack(docs, bpe.vocabulary_path())
+    return packing.pack(docs, bpe.vocabulary_path(), memo=300_000)  # beside what the other stages hold
 
 
 STAGES = [("language ID", languages), ("quality classifier", good_texts), ("n-gram Jaccard join", one_copy), ("secret scans", without_secrets), ("best-fit packing", packed)]
