@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MEMO_ENTRIES, MEMO_LENGTH = 800_000, 48
 #: Words up to this many bytes are merged together, array-wise; longer ones each by a heap.
 SHORT_WORD = 48
+#: Runs of white space or of anything else longer than this go to the exact merger, whose cost per run is n log n.
+LONG_RUN = 2000
 
 
 def byte_symbols() -> list[str]:
@@ -64,6 +67,19 @@ class Vocabulary:
         self._pairs, self._ranks, self._news = (np.array(c, dtype=np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         self._byte_ids = np.array(self.byte_ids, dtype=np.int64)
 
+    def proper(self) -> bool:
+        """Whether merging by the id of the result gives the same ids as merging by listed pairs.
+
+        It does if ids rise with the merge ranks and every token's bytes merge to that token alone. Then two
+        neighbours that together spell a token are the last state but one of that token's own merging, which has
+        just one such state, so they are the pair that is listed.
+        """
+        news = [new for _, new in sorted(self.merges.values())]
+        tokens = [(i, b) for i, b in enumerate(self.bytes_of) if b and b.decode("utf-8", "replace") not in self.special]
+        if any(a >= b for a, b in zip(news, news[1:])) or len({b for _, b in tokens}) < len(tokens):
+            return False
+        return all(ids == struct.pack("<I", i) for (i, _), ids in zip(tokens, self.merge_many([b for _, b in tokens])))
+
     def merge(self, word: bytes) -> list[int]:
         """Exact ids of one pre-token: the lowest rank first, the leftmost among equal ranks."""
         return self._merge_long([self.byte_ids[b] for b in word])
@@ -312,7 +328,43 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+class RankEncoder:
+    """The same ids, where neither lexicon nor decoding is asked for: merging by rank in compiled code.
+
+    Only for ``proper`` vocabularies; others, and texts with runs that compiled merging takes quadratic time for, go
+    to the exact encoder whole.
+    """
+
+    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
+        self.exact = encoder(path, memo=memo)
+        vocabulary = self.exact.vocabulary
+        self.ranks = None
+        if vocabulary.proper():
+            ranks = {b: i for i, b in enumerate(vocabulary.bytes_of) if b and b.decode("utf-8", "replace") not in vocabulary.special}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str) -> list[int]:
+        words = text.split()
+        blanks = len(text) - sum(map(len, words)) - len(words)
+        if self.ranks is None or blanks > LONG_RUN or max(map(len, words), default=0) > LONG_RUN:
+            return np.frombuffer(self.exact.encode(text), "<u4").tolist()
+        special = self.exact.vocabulary.special
+        if not any(s in text for s in special):
+            return self.ranks(text)
+        parts = self.exact.specials.split(text)
+        return [i for p in parts for i in ([special[p]] if p in special else self.ranks(p))]
+
+
 _LOADED: dict[tuple[str, str, int], Encoder] = {}
+_RANKED: dict[tuple[str, int], RankEncoder] = {}
+
+
+def rank_encoder(path: str, memo: int = MEMO_ENTRIES) -> RankEncoder:
+    """The worker's rank encoder for a vocabulary file; kept from task to task."""
+    if (path, memo) not in _RANKED:
+        _RANKED.clear()
+        _RANKED[path, memo] = RankEncoder(path, memo)
+    return _RANKED[path, memo]
 
 
 def encoder(path: str, block: bytes | None = None, memo: int = MEMO_ENTRIES) -> Encoder:
@@ -403,10 +455,10 @@ def encoded_lengths(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """The number of tokens of every whole text (0 for null or empty texts)."""
 
     def factory():
-        coder = encoder(path)
-        return lambda keys, texts: zip(keys, (len(ids) // 4 for ids in coder.encode_many([t or "" for t in texts])))
+        coder = rank_encoder(path)
+        return lambda keys, texts: zip(keys, (len(coder.ids(t or "")) for t in texts))
 
     return block_map(df, [id_col, text_col], f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long", factory)
 
 
-__all__ = ["Encoder", "Lexicon", "Vocabulary", "bpe_round_trip", "build_lexicon", "compile_lexicon", "encoded_lengths", "encoder", "frequent_words", "map_lexicon", "vocabulary_path"]
+__all__ = ["Encoder", "Lexicon", "RankEncoder", "Vocabulary", "bpe_round_trip", "build_lexicon", "compile_lexicon", "encoded_lengths", "encoder", "frequent_words", "map_lexicon", "rank_encoder", "vocabulary_path"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.llm.bpe import MEMO_ENTRIES, encoder
+from heronry.llm.bpe import MEMO_ENTRIES, rank_encoder
 from heronry.llm.common import block_map, drop, stored
 
 #: A pattern: lengths in falling order, and how many sequences are filled so.
@@ -193,14 +193,12 @@ def bin_completion(counts: dict[int, int], capacity: int, budget: int = 20_000)
 
 def encoded_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces of every whole text's ids and the end id: only longer documents are cut, the first piece is the short one."""
-    end = end_id.to_bytes(4, "little")
-
     def factory():
-        coder = encoder(path, memo=memo)
+        coder = rank_encoder(path, memo)
 
         def kernel(keys, texts):
-            for key, ids in zip(keys, coder.encode_many([t or "" for t in texts])):
-                ids += end
+            for key, text in zip(keys, texts):
+                ids = np.array([*coder.ids(text or ""), end_id], "<u4").tobytes()
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -217,7 +215,8 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col
     One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset. Null texts count as empty (a
     lone end id). Repeated rows are packed each; pieces alike in every column may swap places. Full pieces fill a
     sequence each and need no rank. The other lengths are ranked within ``salts`` hash parts, so no task sorts all
-    pieces of a hot length; ``memo`` bounds the words whose ids a worker remembers. The driver sees capacity x salts counts at most.
+    pieces of a hot length; ``memo`` bounds the words whose ids a worker
+    remembers for texts that go to the exact encoder. The driver sees capacity x salts counts at most.
     """
     pieces = stored(encoded_pieces(df, path, capacity, end_id, id_col, text_col, memo), "pieces")
     part = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int").alias("part")

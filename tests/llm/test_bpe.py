@@ -47,6 +47,22 @@ def test_encoding_equals_the_library(library, with_lexicon):
         assert coder.decode(packed) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_rank_merging_equals_the_library_and_needs_a_proper_vocabulary(library):
+    coder = bpe.rank_encoder(PATH)
+    assert coder.ranks is not None
+    random.seed(4)
+    alphabet = "ab c  \n\t'sdtm re12½²é漢😀\x1c\x85\xa0.,! \r\u3000"
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 60))) + "<|endoftext|>x" * (k % 7 == 0) for k in range(3000)]
+    texts += ["".join(chr(random.choice((random.randrange(1, 0xD800), random.randrange(0xE000, 0x110000)))) for _ in range(50)) for _ in range(300)]
+    texts += ["", " ", " " * 9000, "a" * 30_000, "ab" * 999 + " x", "\x1c" * 9000, "<|endoftext|>" * 3, "the quick " * 500]
+    for text in texts:
+        assert coder.ids(text) == library.encode(text, add_special_tokens=False).ids
+    twisted = bpe.Vocabulary(PATH)
+    (a, b), (rank, new) = next(iter(twisted.merges.items()))
+    twisted.bytes_of[new] = b"never merged to"
+    assert not twisted.proper()
+
+
 def test_memo_starts_anew_without_changing_results(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_ENTRIES", 5)
     coder = bpe.Encoder(bpe.Vocabulary(PATH))
