@@ -128,17 +128,18 @@ measured AS (
 
 VECTORS = """
 wide AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-v AS (SELECT vec_id, label, lpad(vec_id::VARCHAR, 8, '0') AS chunk_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM wide),
-near AS (
-    SELECT q.vec_id AS query_id, q.label AS q_label, c.chunk_id, c.vec_id, c.label, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id < 20 AND c.vec_id >= 20
-)"""
+v AS (SELECT vec_id, label, lpad(vec_id::VARCHAR, 8, '0') AS chunk_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM wide)"""
+#: Every vector whose id is divisible by 20 as a question, nth by its number, with every vector.
+NEAR = f"""{VECTORS},
+asked AS (SELECT vec_id AS query_id, vec_id // 20 AS nth, label AS q_label, e FROM v WHERE vec_id % 20 = 0),
+near AS (SELECT query_id, nth, q_label, chunk_id, vec_id, label, list_inner_product(q.e, c.e) AS score FROM asked q CROSS JOIN v c)"""
 DENSE_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)"
 
 
 def fused(k: int) -> str:
-    return f"""WITH {VECTORS},
+    return f"""WITH {NEAR},
 first AS (SELECT query_id, chunk_id, rank FROM (SELECT *, {DENSE_RANK} AS rank FROM near) WHERE rank <= {max(3 * k, 50)}),
-second AS (SELECT query_id - 1 AS query_id, chunk_id, rank FROM first WHERE query_id >= 1),
+second AS (SELECT query_id - 20 AS query_id, chunk_id, rank FROM first WHERE query_id >= 20),
 both_lists AS (SELECT *, 0 AS list_no FROM first UNION ALL SELECT *, 1 FROM second),
 merged AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list_no * 1000 + rank) AS seen FROM both_lists GROUP BY query_id, chunk_id)
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, chunk_id) AS rank FROM merged) WHERE rank <= {k}"""
@@ -259,17 +260,19 @@ ORACLES: dict[str, str] = {
         mean AS MATERIALIZED (SELECT avg(raw_idf) AS m FROM raws)
         SELECT term, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * m ELSE raw_idf END, 6) AS idf FROM raws, mean""",
     "index_vectors": f"WITH {VECTORS} SELECT vec_id, round(list_inner_product(e, list_transform(range(1, len(e) + 1), lambda i: i::DOUBLE)), 6) AS weighted, round(list_inner_product(e, e), 6) AS norm FROM v",
-    "retrieve_dense": f"WITH {VECTORS} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, {DENSE_RANK} AS rank FROM near) WHERE rank <= 10",
+    "retrieve_dense_all": f"WITH {NEAR} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, {DENSE_RANK} AS rank FROM near) WHERE rank <= 10",
     "retrieve_bm25": f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits WHERE rank <= 10",
-    "retrieve_metadata_filter": f"""WITH {VECTORS},
-        allowed AS (SELECT * FROM near WHERE (query_id % 2 <> 0 OR vec_id % 4 = 0) AND (query_id % 3 <> 0 OR label = q_label))
+    "retrieve_metadata_filter_all": f"""WITH {NEAR},
+        allowed AS (SELECT * FROM near WHERE (nth % 2 <> 0 OR vec_id % 4 = 0) AND (nth % 3 <> 0 OR label = q_label))
         SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, {DENSE_RANK} AS rank FROM allowed) WHERE rank <= 5""",
-    "fuse_rrf": fused(10),
-    "retrieve_hybrid_rrf": fused(20),
-    "retrieve_query_decomposition": f"""WITH {VECTORS},
-        parts AS (SELECT query_id // 5 AS query_id, query_id % 5 AS part, chunk_id, {DENSE_RANK} AS rank FROM near),
-        merged AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(part * 1000 + rank) AS seen FROM parts WHERE part < 4 AND rank <= 10 GROUP BY query_id, chunk_id)
-        SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, chunk_id) AS rank FROM merged) WHERE rank <= 10""",
+    "fuse_rrf_all": fused(10),
+    "retrieve_hybrid_rrf_all": fused(20),
+    "retrieve_query_decomposition_all": f"""WITH {NEAR},
+        parts AS (SELECT * FROM (SELECT nth // 5 AS query_id, nth % 5 AS part, chunk_id, score, {DENSE_RANK} AS rank FROM near) WHERE part < 4 AND rank <= 10),
+        many AS (SELECT query_id, count(DISTINCT part) AS n FROM parts GROUP BY query_id),
+        merged AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(part * 1000 + rank) AS seen FROM parts WHERE query_id IN (SELECT query_id FROM many WHERE n > 1) GROUP BY query_id, chunk_id)
+        SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, chunk_id) AS rank FROM merged) WHERE rank <= 10
+        UNION ALL SELECT query_id, rank, chunk_id, round(score, 6) FROM parts WHERE query_id IN (SELECT query_id FROM many WHERE n = 1)""",
     "retrieve_hybrid_rerank": f"""WITH {BM25},
         pairs AS (SELECT h.query_id, h.chunk_id, list_distinct(g.terms) AS q, list_distinct(regexp_extract_all(lower(o.content), '{WORD}')) AS p FROM hits h JOIN gold g ON g.query_id = h.query_id JOIN once o ON o.chunk_id = h.chunk_id WHERE h.rank <= 10),
         shares AS (SELECT query_id, chunk_id, len(list_filter(q, lambda w: list_contains(p, w)))::DOUBLE / greatest(1, len(q)) AS score FROM pairs)

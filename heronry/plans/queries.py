@@ -253,21 +253,10 @@ def _vectors(spark, d):
     return v
 
 
-def _vector_split(spark, d):
-    v = _vectors(spark, d)
-    return v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.where("vec_id >= 20")
-
-
 def _ranked(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query
-def retrieve_dense(spark, d):
-    q, v = _vector_split(spark, d)
-    return _ranked(retrieval.dense(q.select("query_id", "embedding"), v.select("chunk_id", "embedding"), 10))
-
-
 def _bm25(spark, d, k):
     chunks = _once(spark, d)
     # The index is read several times by one plan; as a table of its own it would be stored instead.
@@ -281,36 +270,6 @@ def retrieve_bm25(spark, d):
     return _ranked(_bm25(spark, d, 10)[0])
 
 
-@query
-def retrieve_metadata_filter(spark, d):
-    q, v = _vector_split(spark, d)
-    q = q.select("query_id", "embedding", (F.col("query_id") % 2 == 0).alias("f_is_table"), F.when(F.col("query_id") % 3 == 0, F.col("label").cast("string")).alias("f_book"))
-    v = v.select("chunk_id", "embedding", (F.col("vec_id") % 4 == 0).alias("is_table"), F.col("label").cast("string").alias("book"))
-    return _ranked(retrieval.filtered_dense(q, v, 5))
-
-
-def _two_lists(spark, d, n=50):
-    """Two rankings of the same vectors: by the question's vector and by its neighbour's."""
-    q, v = _vector_split(spark, d)
-    other = q.select((F.col("query_id") - 1).alias("query_id"), "embedding").where("query_id >= 0")
-    v = v.select("chunk_id", "embedding")
-    return retrieval.dense(q.select("query_id", "embedding"), v, n), retrieval.dense(other, v, n)
-
-
-@query
-def fuse_rrf(spark, d):
-    return _ranked(retrieval.rrf(list(_two_lists(spark, d)), 10))
-
-
-@query
-def retrieve_hybrid_rrf(spark, d):
-    a, b = _two_lists(spark, d, 60)
-    return _ranked(retrieval.hybrid_rrf(lambda n: a.where(F.col("rank") <= n), lambda n: b.where(F.col("rank") <= n), 20))
-
-
-# The same searches over the whole table. The oracles of the queries above fix 20 questions, so these have none.
-
-
 def _whole_split(spark, d):
     """Every vector whose id is divisible by 20 as a question (nth is its number), and all vectors."""
     v = _vectors(spark, d)
@@ -332,7 +291,7 @@ def retrieve_metadata_filter_all(spark, d):
 
 
 def _two_whole_lists(spark, d, n=50):
-    """``_two_lists`` over the whole table: by the question's vector and by the next question's."""
+    """Two rankings of the same vectors: by the question's vector and by the next question's."""
     q, v = _whole_split(spark, d)
     other = q.select((F.col("query_id") - 20).alias("query_id"), "embedding").where("query_id >= 0")
     v = v.select("chunk_id", "embedding")
@@ -364,13 +323,6 @@ def retrieve_hybrid_rerank(spark, d):
     return _ranked(retrieval.rerank(hits, chunks, questions, clients.overlap_reranker, 10))
 
 
-@query
-def retrieve_query_decomposition(spark, d):
-    q, v = _vector_split(spark, d)
-    parts = q.select(F.floor(F.col("query_id") / 5).alias("query_id"), (F.col("query_id") % 5).cast("int").alias("part_no"), "embedding")
-    return _ranked(retrieval.decomposed(parts, v.select("chunk_id", "embedding"), 10))
-
-
 @query
 def retrieve_hyde(spark, d):
     chunks = _once(spark, d)
