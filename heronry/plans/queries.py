@@ -327,7 +327,7 @@ def retrieve_hybrid_rerank(spark, d):
 def retrieve_hyde(spark, d):
     chunks = _once(spark, d)
     embed = lambda c: X.hashed_embedding(X.search_terms(c))
-    vectors = index.normalised(chunks.select("chunk_id", embed(F.col("content")).alias("embedding")))
+    vectors = S.saved(index.normalised(chunks.select("chunk_id", embed(F.col("content")).alias("embedding"))), "vectors")  # counted and searched
     questions = S.gold(spark, d).select("query_id", F.array_join("terms", " ").alias("query"))
     return _ranked(retrieval.hyde(questions, lambda texts: [f"{t} {t}" for t in texts], embed, vectors, 5))
 

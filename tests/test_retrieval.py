@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -293,3 +294,21 @@ def test_streamed_index_equals_the_static_one(spark, tmp_path):
     static = index.postings(incremental.chunk_stream(docs))
     assert sorted(map(tuple, post.select("chunk_id", "term", "tf").collect())) == sorted(map(tuple, static.select("chunk_id", "term", "tf").collect()))
     assert {r["term"]: r["df"] for r in terms.collect()}["common"] == 6 and lengths.count() == 6
+
+
+def test_hashed_embedding_counts_words_by_batch(spark):
+    df = spark.createDataFrame([(0, ["b", "a", "b"]), (1, []), (2, None), (3, ["ä", "b"])], "id int, words array<string>").withColumn("v", X.hashed_embedding(F.col("words"), 8))
+    at = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    for row in df.collect():
+        expected = [0.0] * 8
+        for w in row["words"] or []:
+            expected[at(w)] += 1
+        assert row["v"] == expected
+    assert "filter(" not in df._jdf.queryExecution().toString()  # not each word again for each dimension
+
+
+def test_vectors_are_measured_once(spark):
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None)], "id int, embedding array<double>")
+    found = index.normalised(df)
+    assert [r["embedding"] for r in found.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
