@@ -164,38 +164,53 @@ _XREF = re.compile(rb"xref|\d{1,12}\s{1,8}\d{1,12}\s{1,8}obj")
 _EOF = re.compile(rb"startxref\s{1,8}(\d{1,12})\s{1,8}%%EOF")
 
 
+class _Ends:
+    """Sections and %%EOF ends of all PDFs of a text, located once; ends are also kept by the offset that they state."""
+
+    def __init__(self, b: bytes) -> None:
+        self.sections = np.array([m.start() for m in _XREF.finditer(b)], np.int64)
+        found = [(int(m[1]), m.start(), m.end()) for m in _EOF.finditer(b)]
+        self.starts, self.ends = [f[1] for f in found], [f[2] for f in found]
+        self.by_offset: dict[int, list[int]] = {}
+        for k, (to, _, _) in enumerate(found):
+            if to < len(b):
+                self.by_offset.setdefault(to, []).append(k)
+        self.offsets = np.array(sorted(self.by_offset), np.int64)
+        self.is_section, self.is_offset = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        self.is_section[self.sections] = True
+        self.is_offset[self.offsets] = True
+
+    def stated(self, at: int) -> list[int]:
+        """The offsets stated anywhere that lead from ``at`` to a section: over the fewer of offsets and sections left."""
+        sections = self.sections[np.searchsorted(self.sections, at) :]
+        if len(sections) < len(self.offsets):
+            return (sections - at)[self.is_offset[sections - at]].tolist()
+        offsets = self.offsets[: np.searchsorted(self.offsets, len(self.is_section) - at)]
+        return offsets[self.is_section[at + offsets]].tolist()
+
+
 def _pdf(b: Data, at: int) -> int | None:
     """To the last %%EOF whose startxref points to a cross-reference section, each behind what came before (updates).
 
-    The sections of all PDFs of the text are located once, by the start that they imply and in order.
+    Of the ends that state one offset only the first behind the section can count, so ends that repeat cost nothing.
     """
     known = b.memo.get("pdf")
     if known is None:
-        found = [(int(m[1]), m.start(), m.end()) for m in _EOF.finditer(b)]
-        known = b.memo["pdf"] = ([m.start() for m in _XREF.finditer(b)], found)
-    sections, found = known
-    if not found:
-        return None
-    first = bisect.bisect_left(found, at, key=lambda f: f[1])
-    if first == len(found):
+        known = b.memo["pdf"] = _Ends(b)
+    first = bisect.bisect_left(known.starts, at)
+    if first == len(known.starts):
         return None
-    places = b.known("pdf sections")
-    if not places:
-        places.update(dict.fromkeys(sections, True))
-    last, best = None, None
-    for to, start, end in found[first:] if len(found) - first <= 64 else _matching(b, at, first):
-        if at + to < start and (last is None or to >= last) and at + to in places:
-            last, best = end - at, end
-    return (best or found[first][2]) - at
-
-
-def _matching(b: Data, at: int, first: int) -> list[tuple[int, int, int]]:
-    """Of many ends, those whose section may be one of a PDF that starts at ``at``: its next magic ends the search."""
-    magics = b.markers(b"%PDF-")
-    k = bisect.bisect_right(magics, at)
-    until = magics[k] if k < len(magics) else len(b)
-    found = b.memo["pdf"][1]
-    return found[first : max(first + 64, bisect.bisect_left(found, until, key=lambda f: f[1]))]
+    near = []
+    for to in known.stated(at):
+        own = known.by_offset[to]
+        k = bisect.bisect_right(own, at + to, key=known.starts.__getitem__)
+        if k < len(own):
+            near.append((own[k], to))
+    last = 0
+    for k, to in sorted(near):
+        if to >= last:
+            last = known.ends[k] - at
+    return last or known.ends[first] - at
 
 
 def _zip(b: Data, at: int) -> int | None:

@@ -1,9 +1,10 @@
-import time
 import hashlib
 import io
 import math
+import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -194,3 +195,25 @@ def test_walks_kept_for_one_magic_hold_for_the_others():
     kind, carved = media.sniff(data)
     assert kind == media.OTHER
     assert carved == [("audio/wav", 4, len(outer)), ("audio/wav", 4 + len(outer) + 5, len(outer))]
+
+
+def test_a_pdf_with_many_ends_is_followed_through_all_of_them():
+    body = b"%PDF-1.4\nxref\n0 1\nstartxref\n9\n%%EOF\n" + b"startxref\n7\n%%EOF\n" * 70 + b"(a quoted %PDF-1.7)\n" + b"startxref\n8\n%%EOF\n" * 70
+    body += b"xref\n0 2\nstartxref\n%d\n%%%%EOF" % len(body)
+    assert media.sniff(b"junk" + body)[1] == [("application/pdf", 4, len(body))]
+
+
+def test_pdf_ends_are_those_of_a_plain_scan():
+    def plain(b, at):
+        places, last, best, first = {m.start() for m in media._XREF.finditer(b)}, 0, None, None
+        for m in media._EOF.finditer(b, at):
+            first, to = first or m.end(), int(m[1])
+            if at + to in places and at + to < m.start() and to >= last:
+                last, best = m.end() - at, m.end()
+        return (best or first) - at if first else None
+
+    rng = random.Random(7)
+    for _ in range(300):
+        b = b"".join(rng.choice((b"%PDF-", b"xref ", b"xref ", b"fill", b"startxref %d %%%%EOF " % rng.randrange(60))) for _ in range(40))
+        for at in (m.start() for m in re.finditer(b"%PDF-", b)):
+            assert media._pdf(media.Data(b), at) == plain(b, at)
