@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
-from heronry.llm import jaccard_join, pivot_topk
+from heronry.llm import common, jaccard_join, pivot_topk
 
 from .fixtures import DOCS, documents, odd_documents, prose
 
@@ -262,3 +263,17 @@ def test_schema_of_documents_is_not_needed(spark):
     df = spark.createDataFrame([(1, prose(1, 20))], "doc_id long, text string")
     assert jaccard_join.jaccard_components(df).columns == ["doc_id", "n_shingles", "component_id"]
     assert DOCS
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {n for i in range(blocks.size()) if (n := blocks.apply(i).name()).startswith("shuffle_")}
+
+    before = shuffled()
+    common.stored(spark.range(1000).repartition(3, "id"), "shuffled")
+    until = time.time() + 20
+    while not shuffled() <= before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert spark.conf.get(common.CLEANUP) == "false"
