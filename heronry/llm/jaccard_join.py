@@ -23,11 +23,17 @@ summed per pair; of the links found only a spanning forest leaves that task.
 Large blobs. First each tile is compared with itself and with the first one of its length; then only tiles that are not
 yet of one component, large components apart. A large group of near copies thus costs in proportion to its size;
 only sets that share signatures without being linked are all compared, tile by tile.
+
+Rounds. How often a set is compared depends on its blob, so pairs of tiles whose n-grams exceed a share of those of all
+sets take several rounds, and the shuffle files of a round are deleted before the next. Disk is in proportion to the
+input, whatever the pairs are; all pairs are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -50,6 +56,8 @@ BATCH, MEMO = 400_000, 200_000
 FREQUENT, FREQUENT_FROM, COUNTED, REPEATS = 100_000, 16, 1_000_000, 3
 #: Signatures, or classes of equal sets, that are joined by broadcast as hot ones: at most so many, of at least so many rows.
 HOT, HOT_FROM = 10_000, 256
+#: N-grams that may be on their way to their tasks at once: this part of those of all sets, and so many at least.
+ROUND_PART, ROUND_SHINGLES = 4, 20_000_000
 _U = np.uint64
 
 
@@ -483,9 +491,22 @@ def _tiled(members: DataFrame, p: int, q: int) -> DataFrame:
     return dealt.withColumn("place", place.cast("int"))
 
 
-def _links(tiled: DataFrame, pairs: DataFrame, texts: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
-    """a, b: classes linked within the pairs (blob, i, j) of tiles."""
+def _links(tiled: DataFrame, pairs: DataFrame, texts: DataFrame, often, p: int, q: int, width: int, most: int) -> DataFrame:
+    """a, b: classes linked within the pairs (blob, i, j) of tiles, by rounds of about ``most`` n-grams."""
     uses = pairs.select("blob", "i", "j", F.col("i").alias("tile")).unionByName(pairs.where("i < j").select("blob", "i", "j", F.col("j").alias("tile")))
+    sizes = tiled.groupBy("blob", "tile").agg(F.sum("n").alias("n"))
+    rounds = max(1, math.ceil((uses.join(sizes, ["blob", "tile"]).agg(F.sum("n")).first()[0] or 0) / most))
+    turn = F.pmod(F.xxhash64("blob", "i", "j", F.lit(13)), F.lit(rounds))
+    found = [_round(tiled, uses.where(turn == F.lit(k)), texts, often, p, q, width) for k in range(rounds)]
+    if rounds == 1:
+        return found[0]
+    result = stored(reduce(DataFrame.unionByName, found), "links")
+    drop(*found)
+    return result
+
+
+def _round(tiled: DataFrame, uses: DataFrame, texts: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
+    """a, b: classes linked within the pairs of tiles of ``uses`` (blob, i, j, tile)."""
     # Narrow rows say where each set goes; then its text moves to them, and its fragments to their tasks.
     where = stored(uses.join(tiled.select("blob", "tile", "place", "cid", "rep", "rep_t"), ["blob", "tile"]), "uses")
     bucket = lambda t: F.pmod(t, F.lit(BUCKETS))
@@ -503,7 +524,7 @@ def _links(tiled: DataFrame, pairs: DataFrame, texts: DataFrame, often, p: int,
     return result
 
 
-def _all_links(members: DataFrame, texts: DataFrame, often, p: int, q: int, width: int) -> list[DataFrame]:
+def _all_links(members: DataFrame, texts: DataFrame, often, p: int, q: int, width: int, most: int) -> list[DataFrame]:
     """Links that connect what is linked: tiles with themselves and with the first of their length, then what is left."""
     tiled = stored(_tiled(members.withColumn("family", F.lit("")), p, q), "tiled")
     tiles = tiled.groupBy("blob", "level", "tile", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -511,7 +532,7 @@ def _all_links(members: DataFrame, texts: DataFrame, often, p: int, q: int, widt
     near = firsts.alias("x").join(firsts.alias("y"), (F.col("x.blob") == F.col("y.blob")) & (F.col("y.level") == F.col("x.level") + 1)).where(f"{q} * x.high >= {p} * y.low").select("x.blob", F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
     spokes = tiles.where("part > 0").select("blob", (F.col("tile") - F.col("part")).alias("i"), F.col("tile").alias("j"))
     pairs = stored(tiles.select("blob", F.col("tile").alias("i"), F.col("tile").alias("j")).unionByName(spokes).unionByName(near), "pairs")
-    links = [_links(tiled, pairs, texts, often, p, q, width)]
+    links = [_links(tiled, pairs, texts, often, p, q, width, most)]
 
     # Blobs of more than one tile may have further links, unless they are of one component by now.
     several = stored(tiles.groupBy("blob").agg(F.count(F.lit(1)).alias("tiles")).where("tiles > 1").select("blob"), "several")
@@ -527,7 +548,7 @@ def _all_links(members: DataFrame, texts: DataFrame, often, p: int, q: int, widt
         apart = (F.col("i_from") != F.col("i_to")) | (F.col("j_from") != F.col("j_to")) | (F.col("i_from") != F.col("j_from"))
         fits = f"i_tile <= j_tile and {q} * i_high >= {p} * j_low and {q} * j_high >= {p} * i_low"
         rest = stored(first.join(second, "blob").where(fits).where(apart).select("blob", F.col("i_tile").alias("i"), F.col("j_tile").alias("j")), "pairs")
-        links.append(_links(again, rest, texts, often, p, q, width))
+        links.append(_links(again, rest, texts, often, p, q, width, most))
         drop(linked, again, rest)
     drop(tiled, pairs, several)
     return links
@@ -577,7 +598,8 @@ def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: s
     drop(blobs, row_edges, weak_sets)
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("t")).where(F.col("text").isNotNull())
-    links = _all_links(members, texts, often, p, q, width)
+    most = max(ROUND_SHINGLES, (classes.agg(F.sum("n")).first()[0] or 0) // ROUND_PART)
+    links = _all_links(members, texts, often, p, q, width, most)
     linked = connected_components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
 
     sources = linked.select(F.col("node").alias("cid"), "component").unionByName(linked.select(F.col("component").alias("cid"), "component")).distinct()

@@ -78,6 +78,18 @@ def test_join_equals_brute_force(spark, monkeypatch, tile):
     assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
 
 
+def test_pairs_of_tiles_take_rounds_of_bounded_size(spark, monkeypatch):
+    sent, links = [], jaccard_join.tile_links
+    size = lambda rows: sum(len(jaccard_join.shingle_hashes(r["text"])) for r in rows.select("text").collect())
+    monkeypatch.setattr(jaccard_join, "tile_links", lambda rows, *a: sent.append(size(rows)) or links(rows, *a))
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "ROUND_SHINGLES", 2_000, raising=False)
+    texts = near_misses()
+    assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
+    every = sum(len(jaccard_join.shingle_hashes(t)) for t in set(texts))
+    assert sum(sent) > 2 * every > 2 * max(sent)  # far more is compared than is on its way at once
+
+
 def test_join_of_odd_documents(spark):
     df = odd_documents(spark)
     assert joined(df) == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
