@@ -8,7 +8,10 @@ Candidates. Sets of a and b n-grams with a Jaccard similarity of p/q or more dif
 (q - p)(a + b) / (q + p) n-grams. A set of n n-grams therefore shares with any partner at least one whole non-empty
 fine fragment among its first F(n) non-empty ones, F(n) being one more than the most differences that a partner of any
 admissible size may have: every fragment that differs costs a difference. Each set emits a signature of each of
-those fragments. The number of fragments is that of a size class (sizes up to twice the least); sets that may have
+those fragments and a few more, so that linked sets share at least the fewer of their signatures less the differences.
+Pairs that share a signature of few sets are counted, and those that share too few, or whose sizes do not match, are no
+candidates: a passage in common does not make them one blob, however many documents there are. Signatures of more than
+GROUP sets join all of them. The number of fragments is that of a size class (sizes up to twice the least); sets that may have
 partners in the next class emit there too. No link can be missed, and as frequent n-grams lie in fragments of their
 own at the end, passages common to many documents do not make them candidates.
 
@@ -34,10 +37,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,27 +53,23 @@ from heronry.llm.common import drop, most_frequent, new_name, released, stored
 FRAGMENTS, COARSE, BUCKETS = 4, 4096, 1 << 20
 #: What a tile holds on average: sets, and n-grams (one set may have more).
 TILE_SETS, TILE_SHINGLES = 1024, 400_000
-#: Signatures in a batch of output, and words that a worker's memo of hashes holds.
-BATCH, MEMO = 400_000, 200_000
+#: Signatures in a batch of output, bytes of texts hashed together (one text may have more), and bytes of a word from
+#: which it is hashed by itself.
+BATCH, BLOCK, LONG = 400_000, 1 << 18, 256
 #: Frequent n-grams at most (they are broadcast), the documents that make one frequent, n-grams of a task counted
 #: together, and repeats among those that are reported.
 FREQUENT, FREQUENT_FROM, COUNTED, REPEATS = 100_000, 16, 1_000_000, 3
 #: Signatures, or classes of equal sets, that are joined by broadcast as hot ones: at most so many, of at least so many rows.
 HOT, HOT_FROM = 10_000, 256
+#: Sets of one signature that are paired with each other; those of larger groups with one. Signatures beyond the F(n)
+#: that are needed: this part of them, and two.
+GROUP, SPARE = 32, 10
 #: N-grams that may be on their way to their tasks at once: this part of those of all sets, and so many at least.
 ROUND_PART, ROUND_SHINGLES = 4, 20_000_000
 _U = np.uint64
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
+_ODD = _U(0x9E3779B97F4A7C15)
+#: The first 0 to 8 bytes of eight.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,21 +79,84 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
-    """The set of hashed shingles, ascending. ASCII letters are lower-cased and words end at ASCII white space.
+def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``low[start:end]``, all words at once by eight bytes at a time; ``low`` goes on for 8 bytes."""
+    size = ends - starts
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = _mix(_mix(eight[starts] & _BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+        more = np.flatnonzero(size > 8)
+        for at in range(8, LONG, 8):
+            if not len(more):
+                break
+            h[more] = _mix(h[more] * _ODD + (eight[starts[more] + at] & _BYTES[np.minimum(size[more] - at, 8)]))
+            more = more[size[more] > at + 8]
+    for k in more.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]])
+    return h
+
+
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = _mix(out * _ODD + h[k : len(h) - width + 1 + k])
+    return out
+
 
-    Fewer words than ``width`` make one shingle of them all; no words make an empty set.
+def block_sets(data: bytes | memoryview, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of hashed shingles of the texts ``data[bounds[k]:bounds[k + 1]]``, ascending: one after the other, and where
+    they begin and end.
+
+    ASCII letters are lower-cased and words end at ASCII white space. Fewer words than ``width`` make one shingle of
+    them all; no words make an empty set.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = _mix(out * _U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    n = len(data)
+    low = np.frombuffer(bytes(data).lower() + bytes(8), np.uint8)
+    inside = np.zeros(n + 2, bool)
+    np.logical_not((low[:n] == 32) | (low[:n] - np.uint8(9) < 5), out=inside[1:-1])
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
+    h = _word_hashes(low, starts, np.flatnonzero(inside[:-1] & (edge | ~inside[1:])))
+    first = np.searchsorted(starts, bounds)
+    words = np.diff(first)
+    sizes = np.where(words < width, np.minimum(words, 1), words - width + 1)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.empty(at[-1], np.uint64)
+    windows = _windows(h, width) if len(h) >= width else h[:0]
+    for lo, hi, k, m in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist(), words.tolist()):
+        if m >= width:
+            flat[lo:hi] = windows[k : k + hi - lo]
+            flat[lo:hi].sort()
+        elif m:
+            flat[lo] = _windows(h[k : k + m], m)[0]
+    new = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:])
+    new[at[:-1][sizes > 0]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
+def _blocks(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """From which to which of the texts, their sets and where these begin and end; null counts as empty."""
+    if not len(texts):
+        return
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    places = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = memoryview(data or b"")
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(places, places[lo] + BLOCK, "right")) - 1)
+        yield lo, hi, *block_sets(data[places[lo] : places[hi]], places[lo : hi + 1] - places[lo], width)
+        lo = hi
+
+
+def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
+    """The set of hashed shingles of a text, as ``block_sets`` makes them."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return block_sets(data, np.array([0, len(data)]), width)[0]
 
 
 def most_differences(a: int, b: int, p: int, q: int) -> int:
@@ -109,8 +172,7 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, p: int, q: int) -> np.n
     """
     n = len(hashes)
     need = most_differences(n, n * q // p, p, q) + 1
-    out = []
-    level = n.bit_length() - 1  # sizes from 2**level
+    found = []
     if len(frequent):
         last = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
         hashes = np.concatenate((hashes[~last], hashes[last]))
@@ -118,36 +180,35 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, p: int, q: int) -> np.n
     else:
         last = np.zeros(n, bool)
     with np.errstate(over="ignore"):
-        own = _mix(hashes)
-        for k in (level, level + 1) if n * q // p >= 2 << level else (level,):
+        for k in _levels(n, p, q):
             top = (2 << k) - 1
             cuts = (most_differences(top, top * q // p, p, q) + 1) * 11 // 10 + 4
             place = ((hashes >> _U(32)) * _U(cuts) >> _U(32)) + _U(cuts) * last  # ascending: fragments are ranges of the order
             starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             if len(starts) < need:
                 return None
-            sums = np.add.reduceat(own, starts)[:need]
-            out.append(_mix(sums + _mix(place[starts[:need]] * _U(64) + _U(k))))
-    return np.concatenate(out)
-
-
-def _class_of(hashes: np.ndarray) -> tuple[int, int]:
-    """96 bits that stand for the whole set."""
-    with np.errstate(over="ignore"):
-        a = int(np.add.reduce(_mix(hashes + _U(1)))) if len(hashes) else 0
-        b = int(np.bitwise_xor.reduce(_mix(hashes ^ _U(0xA0761D6478BD642F)))) if len(hashes) else 0
-    return (a ^ len(hashes) * 0x9E3779B97F4A7C15) & (1 << 64) - 1, b & 0x7FFFFFFF
+            found.append((k, place, starts))
+        take = min(need + need // SPARE + 2, *(len(starts) for *_, starts in found))
+        own = _mix(hashes)
+        return np.concatenate([_mix(np.add.reduceat(own, starts)[:take] + _mix(place[starts[:take]] * _U(64) + _U(k))) for k, place, starts in found])
 
 
-def _name(hashes: np.ndarray) -> str:
-    c1, c2 = _class_of(hashes)
-    return f"{c1:016x}{c2:08x}"
+def _levels(n: int, p: int, q: int) -> tuple[int, ...]:
+    """The size classes in which a set of n n-grams has partners: sizes from 2**level."""
+    level = n.bit_length() - 1
+    return (level, level + 1) if n * q // p >= 2 << level else (level,)
 
 
-def _texts(batches, *columns: int) -> Iterator[tuple]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            yield from zip(*(batch.column(c).slice(lo, 64).to_pylist() for c in columns))
+def _classes(flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for each whole set, as 64 and 31 of them."""
+    sizes = np.diff(cuts)
+    some = np.flatnonzero(sizes)
+    a, b = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    with np.errstate(over="ignore"):
+        if len(some):
+            a[some] = np.add.reduceat(_mix(flat + _U(1)), cuts[some])
+            b[some] = np.bitwise_xor.reduceat(_mix(flat ^ _U(0xA0761D6478BD642F)), cuts[some])
+        return a ^ sizes.astype(np.uint64) * _ODD, b & _U(0x7FFFFFFF)
 
 
 def _repeated(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +217,9 @@ def _repeated(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def report():
-        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        values, n = values[starts], np.diff(starts, append=len(values))
         often = n >= REPEATS
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
@@ -166,7 +229,7 @@ def _repeated(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if size >= COUNTED:
             yield report()
             held, size = [], 0
-    if held:
+    if size:
         yield report()
 
 
@@ -179,7 +242,7 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
 
     @released
     def task(batches):
-        yield from _repeated(shingle_hashes(text, width) for (text,) in _texts(batches, 0))
+        yield from _repeated(flat for batch in batches for _, _, flat, _ in _blocks(batch.column(0), width))
 
     counts = df.select(text_col).mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = stored(counts.where(F.col("n") >= FREQUENT_FROM), "frequent")
@@ -189,8 +252,11 @@ def frequent_shingles(df: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, often, p: int, q: int, width: int) -> DataFrame:
-    """doc_id, t (a hash of the text), n, c1, c2 (the class), sigs, weak: signatures only once a class and task."""
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, t long, n_shingles long, c1 long, c2 int, sigs array<long>, weak boolean"
+    """doc_id, t (a hash of the text), n, c1, c2 (the class), sigs, leading, weak: signatures only once a class and task.
+
+    leading: how many fragments have signatures in each size class.
+    """
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, t long, n_shingles long, c1 long, c2 int, sigs array<long>, leading int, weak boolean"
 
     @released
     def task(batches):
@@ -201,32 +267,33 @@ def _signed(df: DataFrame, id_col: str, text_col: str, often, p: int, q: int, wi
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, text, t in _texts([batch], 0, 1, 2):
-                hashes = shingle_hashes(text, width)
-                kind = _class_of(hashes)
-                sigs, weak = None, False
-                if len(hashes) and kind not in seen:
-                    sigs = signatures(hashes, frequent, p, q)
-                    weak = sigs is None
-                    if len(seen) >= 200_000:
-                        seen.clear()
-                    seen.add(kind)
-                rows.append((key, t, len(hashes), *kind, sigs, weak))
-                held += len(sigs) if sigs is not None else 1
-                if held > BATCH:
-                    yield pack(rows, id_type)
-                    rows, held = [], 0
+            for lo, hi, flat, cuts in _blocks(batch.column(1), width):
+                keys, hashes = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 2))
+                for key, t, start, end, c1, c2 in zip(keys, hashes, cuts.tolist(), cuts[1:].tolist(), *(c.tolist() for c in _classes(flat, cuts))):
+                    sigs, weak = None, False
+                    if start < end and (c1, c2) not in seen:
+                        sigs = signatures(flat[start:end], frequent, p, q)
+                        weak = sigs is None
+                        if len(seen) >= 200_000:
+                            seen.clear()
+                        seen.add((c1, c2))
+                    rows.append((key, t, end - start, c1, c2, sigs, weak))
+                    held += len(sigs) if sigs is not None else 1
+                    if held > BATCH:
+                        yield pack(rows, id_type)
+                        rows, held = [], 0
         if rows:
             yield pack(rows, id_type)
 
     def pack(rows, id_type):
         keys, t, n, c1, c2, sigs, weak = zip(*rows)
         sizes = np.array([0 if s is None else len(s) for s in sigs])
+        leading = [size and size // len(_levels(k, p, q)) for k, size in zip(n, sizes.tolist())]
         flat = np.concatenate([s for s in sigs if s is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, id_type), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(c2, pa.int32()), lists, pa.array(weak)],
-            names=["doc_id", "t", "n_shingles", "c1", "c2", "sigs", "weak"],
+            [pa.array(keys, id_type), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(c2, pa.int32()), lists, pa.array(leading, pa.int32()), pa.array(weak)],
+            names=["doc_id", "t", "n_shingles", "c1", "c2", "sigs", "leading", "weak"],
         )
 
     return df.select(id_col, text_col, _text_hash(text_col)).mapInArrow(task, schema)
@@ -241,10 +308,51 @@ def _id_hash(id_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(id_col).isNull())
 
 
+def together(batches) -> Iterator[pa.RecordBatch]:
+    """a, b, star: from rows (sig, row) ordered by sig, the pairs of rows in each group of GROUP or less; for larger
+    groups each row with the first (star)."""
+    sigs, rows, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # of the last group, which may go on
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            sigs = np.concatenate((sigs, batch.column(0).to_numpy(zero_copy_only=False)))
+            rows = np.concatenate((rows, batch.column(1).to_numpy(zero_copy_only=False)))
+        if not len(sigs):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
+        sizes = np.diff(starts, append=len(sigs))
+        open_from = len(sigs) if batch is None else int(starts[-1])
+        if len(sigs) - open_from > GROUP:  # its rows meet the first one now
+            open_from = len(sigs)
+        else:
+            starts, sizes = starts[starts < open_from], sizes[starts < open_from]
+        if len(starts):
+            many = sizes > GROUP
+            many[0] |= sigs[0] == large
+            star, first = np.repeat(many, sizes), np.repeat(rows[starts], sizes)
+            some = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            hub = some[star[some]]
+            pairs = [(first[hub], rows[hub], np.ones(len(hub), bool))]
+            few = some[~star[some]]
+            for d in range(1, int(sizes[~many].max(initial=1))):
+                x, y = few[:-d], few[d:]
+                same = sigs[x] == sigs[y]
+                pairs.append((rows[x[same]], rows[y[same]], np.zeros(int(same.sum()), bool)))
+            a, b, kind = (np.concatenate(c) for c in zip(*pairs))
+            other = a != b
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other]), pa.array(kind[other])], names=["a", "b", "star"])
+        if open_from == len(sigs):  # the last group is done, or large: then only its first row is kept
+            large = sigs[-1]
+            sigs, rows = sigs[starts[-1] : starts[-1] + 1], rows[starts[-1] : starts[-1] + 1]
+        else:
+            sigs, rows = sigs[open_from:], rows[open_from:]
+
+
 def _edges(signed: DataFrame) -> DataFrame:
-    """a, b: rows of ``signed`` whose sets share a signature, each with the first row of that signature.
+    """a, b, shared, star: rows of ``signed`` that share signatures. In groups of more than GROUP rows each meets the
+    first row only (star); other pairs have the number of signatures that they share in smaller groups.
 
-    Hot signatures, HOT at most, get their first row by an aggregation and a broadcast, so no window holds them.
+    Hot signatures, HOT at most, get their first row by an aggregation and a broadcast, so no task holds them.
     """
 
     @released
@@ -256,16 +364,27 @@ def _edges(signed: DataFrame) -> DataFrame:
     hot = most_frequent(counts, "n", HOT).select(F.col("h").alias("sig"))
     # Row numbers are dense, so they take little room in the shuffle beside the signature.
     rows = sigs.select(F.explode("sigs").alias("sig"), "row")
-    first = F.min("row").over(Window.partitionBy("sig"))
-    found = rows.join(F.broadcast(hot), "sig", "left_anti").select(F.col("row").alias("b"), first.alias("a"))
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = rows.join(F.broadcast(hot), "sig", "left_anti").select("sig", "row").repartition(parts, "sig").sortWithinPartitions("sig")
+    found = cold.mapInArrow(released(together), "a long, b long, star boolean")
     if hot.limit(1).count():
         few = rows.join(F.broadcast(hot), "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("a"))
-        found = found.unionByName(rows.join(F.broadcast(few), "sig").select(F.col("row").alias("b"), "a"))
-    found = stored(found.where("a <> b").distinct(), "row-edges")
+        found = found.unionByName(rows.join(F.broadcast(few), "sig").select("a", F.col("row").alias("b"), F.lit(True).alias("star")).where("a <> b"))
+    found = stored(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("star").alias("star")), "row-edges")
     drop(counts)
     return found
 
 
+def _candidates(row_edges: DataFrame, signed: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b: the classes of those pairs of rows that may be links, or lead to links by way of a large group."""
+    named = signed.select("row", _cid(), "n_shingles", "leading")
+    of = lambda x: named.select(F.col("row").alias(x), F.col("cid").alias(f"cid_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("leading").alias(f"leading_{x}"))
+    least = f"least(leading_a, leading_b) - {q - p} * (n_a + n_b) div {q + p}"
+    may = F.expr(f"star or ({q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b) and shared >= {least})")
+    found = row_edges.join(of("a"), "a").join(of("b"), "b").where(may)
+    return found.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).where("a <> b").distinct()
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Exact intersection sizes of all pairs.
 
@@ -381,15 +500,17 @@ def tile_links(rows: DataFrame, often, p: int, q: int, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["blob", "i", "j", "fragment", "tile", "place", "n", "grams"])
 
         size = 0
-        for blob, i, j, tile, place, cid, text in _rows(batches):
-            hashes = shingle_hashes(text, width)
-            if _name(hashes) != cid:  # hashes of texts may coincide
-                continue
-            out += [(blob, i, j, f, tile, place, len(hashes), packed(grams)) for f, grams in cut(hashes, frequent)]
-            size += len(hashes)
-            if size > BATCH:
-                yield pack()
-                out, size = [], 0
+        for batch in batches:
+            for lo, hi, flat, cuts in _blocks(batch.column(6), width):
+                keys = zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns[:6]))
+                for (blob, i, j, tile, place, cid), start, end, c1, c2 in zip(keys, cuts.tolist(), cuts[1:].tolist(), *(c.tolist() for c in _classes(flat, cuts))):
+                    if f"{c1:016x}{c2:08x}" != cid:  # hashes of texts may coincide
+                        continue
+                    out += [(blob, i, j, f, tile, place, end - start, packed(grams)) for f, grams in cut(flat[start:end], frequent)]
+                    size += end - start
+                    if size > BATCH:
+                        yield pack()
+                        out, size = [], 0
         if out:
             yield pack()
 
@@ -578,12 +699,10 @@ def _components(df: DataFrame, threshold: tuple[int, int], width: int, id_col: s
     row_edges = _edges(signed)
     # Signatures are most of that table, so it goes as soon as they have been used.
     weak_sets = stored(signed.where("weak").select("c1", "c2").distinct(), "weak")
-    slim = stored(signed.select("doc_id", "t", "n_shingles", "c1", "c2", "row"), "slim")
+    slim = stored(signed.select("doc_id", "t", "n_shingles", "c1", "c2", "leading", "row"), "slim")
     drop(signed)
     signed = slim
-    named = signed.select("row", _cid())
-    edges = row_edges.join(named.select(F.col("row").alias("a"), F.col("cid").alias("left")), "a").join(named.select(F.col("row").alias("b"), F.col("cid").alias("right")), "b")
-    edges = edges.select(F.col("left").alias("a"), F.col("right").alias("b")).where("a <> b").distinct()
+    edges = _candidates(row_edges, signed, p, q)
 
     # Sets without enough fragments meet every set of admissible size (none but in tiny or adversarial inputs).
     if weak_sets.limit(1).count():

@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heronry.llm import common, jaccard_join, pivot_topk
@@ -90,6 +91,53 @@ def test_pairs_of_tiles_take_rounds_of_bounded_size(spark, monkeypatch):
     assert sum(sent) > 2 * every > 2 * max(sent)  # far more is compared than is on its way at once
 
 
+def test_passage_in_common_makes_no_candidates(spark, monkeypatch):
+    sent, links = [], jaccard_join.tile_links
+    monkeypatch.setattr(jaccard_join, "tile_links", lambda rows, *a: sent.append(rows.count()) or links(rows, *a))
+    own = lambda k: " ".join(f"own{k}_{i}" for i in range(120))
+    texts = [" ".join(f"passage{k % 5}_{i}" for i in range(30)) + " " + own(k) for k in range(60)]
+    assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
+    assert sum(sent) == 0
+    pair = [texts[0], edited(texts[0], 3, 1)]
+    assert joined(documents(spark, texts + pair[1:])) == brute_components(list(enumerate(texts + pair[1:])))
+    assert sum(sent) == 2
+
+
+def test_join_with_signatures_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    texts = near_copies() + near_misses()
+    assert joined(documents(spark, texts)) == brute_components(list(enumerate(texts)))
+
+
+def test_rows_of_one_signature_are_paired_across_batches(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    sigs, rows = [1, 2, 2, 2, 3, 4, 4, 4, 4, 4, 5, 5], list(range(12))
+    expected = sorted([(1, 2, False), (1, 3, False), (2, 3, False), *((5, k, True) for k in range(6, 10)), (10, 11, False)])
+    for size in range(1, 13):
+        batches = [pa.record_batch([pa.array(sigs[i : i + size]), pa.array(rows[i : i + size])], names=["sig", "row"]) for i in range(0, 12, size)]
+        assert sorted(tuple(r.values()) for b in jaccard_join.together(batches) for r in b.to_pylist()) == expected
+
+
+def test_sets_of_a_block_are_those_of_each_text(monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", " ", "a", "A b\x0bc", "\x00 a\x00 b\x85c d", "x" * 256, "x" * 257 + " y", *("".join(rng.choice("ab \n\x00é\U0001f600") for _ in range(rng.randrange(300))) for _ in range(200))]
+    shingles = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    plain = [shingles((t or "").encode().lower().split()) for t in texts]
+    for block in (1, 100, 1 << 18):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        for column in (pa.array(texts), pa.array(["z z", *texts], pa.large_string()).slice(1)):
+            sets = [flat[a:b].tolist() for _, _, flat, cuts in jaccard_join._blocks(column, 4) for a, b in zip(cuts, cuts[1:])]
+            assert sets == [jaccard_join.shingle_hashes(t).tolist() for t in texts]
+            assert [len(x) for x in sets] == [len(x) for x in plain]
+            assert len(set(map(tuple, sets))) == len(set(map(frozenset, plain)))
+
+
+def test_words_are_hashed_at_about_the_speed_of_splitting():
+    text = " ".join(f"w{i:x}" for i in range(1_000_000))
+    best = lambda f: min((f(), time.perf_counter() - began)[1] for _ in range(3) for began in [time.perf_counter()])
+    assert best(lambda: jaccard_join.shingle_hashes(text)) < 5 * best(lambda: text.encode().lower().split())
+
+
 def test_join_of_odd_documents(spark):
     df = odd_documents(spark)
     assert joined(df) == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
