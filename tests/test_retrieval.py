@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -312,3 +313,21 @@ def test_vectors_are_measured_once(spark):
     found = index.normalised(df)
     assert [r["embedding"] for r in found.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_few_questions_leave_vectors_where_they_are(spark, monkeypatch):
+    rng = random.Random(4)
+    vector = lambda n: [rng.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(n)]
+    vectors = [(f"c{i:03}", vector(3 if i % 5 else 2) if i % 11 else None) for i in range(200)]
+    asked = [(f"q{i}", vector(3 if i % 3 else 2) if i != 4 else None) for i in range(12)]
+    v, q = spark.createDataFrame(vectors, "chunk_id string, embedding array<double>").repartition(3), spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    expected = []
+    for key, x in asked:
+        scores = sorted((-round(sum(a * b for a, b in zip(x, y)), 9), c) for c, y in vectors if x and y and len(x) == len(y))
+        expected += [(key, rank, c) for rank, (_, c) in enumerate(scores[:7], 1)]
+    for block in (1024, 5):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 16)
+        hits = retrieval.dense(q, v, 7)
+        assert ("CoGroups" in hits._jdf.queryExecution().executedPlan().toString()) == (block == 5)
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in hits.collect()) == sorted(expected)
